@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .hamming import OP10_SQL, op10_exact_topk
+from .langid import op1_language
+from .maintext import op2_main_text
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_language": op1_language,
+    "op2_main_text": op2_main_text,
     "op9_toxicity": op9_toxicity,
     "op10_exact_topk": op10_exact_topk,
 }
