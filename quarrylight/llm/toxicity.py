@@ -124,7 +124,8 @@ def sample_and_train(documents: DataFrame, labels: DataFrame, sample_rows: int =
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("toxic") == t, F.lit(min(1.0, sample_rows / 2 / n))) for t, n in counts.items()], F.lit(0.0))
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = chosen.join(documents.filter(F.col("text").isNotNull()).select("doc_id", "text"), "doc_id")
+    # about sample_rows ids: a bounded broadcast, so that the texts stay where they are
+    rows = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     texts, marked, room = [], [], max_chars
     for r in rows.select("text", "toxic").toLocalIterator():
         if len(r["text"]) <= room:
