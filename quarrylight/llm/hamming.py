@@ -118,7 +118,8 @@ def hamming_topk(base: DataFrame, queries: DataFrame, k: int, bits: int = 64, se
     blocks = _packed(queries, "block", block_rows, n_queries).select("block", F.col("ids").alias("qids"), F.col("codes").alias("qcodes"))
     n_shards = max(1, -(-n_base // shard_rows))
     blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    work = blocks.join(shards, "shard")
+    pairs = n_shards * max(1, -(-n_queries // block_rows))
+    work = blocks.join(shards, "shard").repartition(min(pairs, 8192), "shard", "block")  # costly rows, too small for Spark to spread by itself
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
