@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op7_byte_bpe
 from .hamming import OP10_SQL, op10_exact_topk
 from .langid import op1_language
 from .maintext import op2_main_text
+from .tokenfile import op3_token_file
 from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_language": op1_language,
     "op2_main_text": op2_main_text,
+    "op3_token_file": op3_token_file,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_exact_topk": op10_exact_topk,
 }
