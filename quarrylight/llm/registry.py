@@ -6,6 +6,7 @@ from .bpe import op7_byte_bpe
 from .hamming import OP10_SQL, op10_exact_topk
 from .langid import op1_language
 from .maintext import op2_main_text
+from .secrets import OP4_SQL, op4_secrets
 from .tokenfile import op3_token_file
 from .toxicity import op9_toxicity
 
@@ -13,11 +14,13 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_main_text": op2_main_text,
     "op3_token_file": op3_token_file,
+    "op4_secrets": op4_secrets,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_exact_topk": op10_exact_topk,
 }
 
 ORACLES = {
+    "op4_secrets": OP4_SQL,
     "op10_exact_topk": OP10_SQL,
 }
