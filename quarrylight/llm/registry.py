@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .decontaminate import OP5_SQL, op5_contamination
 from .hamming import OP10_SQL, op10_exact_topk
 from .langid import op1_language
 from .maintext import op2_main_text
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_main_text": op2_main_text,
     "op3_token_file": op3_token_file,
     "op4_secrets": op4_secrets,
+    "op5_contamination": op5_contamination,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_exact_topk": op10_exact_topk,
@@ -22,5 +24,6 @@ QUERIES = {
 
 ORACLES = {
     "op4_secrets": OP4_SQL,
+    "op5_contamination": OP5_SQL,
     "op10_exact_topk": OP10_SQL,
 }
