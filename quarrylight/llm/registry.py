@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op7_byte_bpe
 from .decontaminate import OP5_SQL, op5_contamination
 from .hamming import OP10_SQL, op10_exact_topk
+from .jaccard import op8_ngram_jaccard
 from .langid import op1_language
 from .maintext import op2_main_text
 from .secrets import OP4_SQL, op4_secrets
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_contamination": op5_contamination,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_exact_topk": op10_exact_topk,
 }
