@@ -1,7 +1,8 @@
 """Byte-level BPE with a lexicon of frequent words.
 
 Text is cut by the byte-level pattern of the tokenizer file (GPT-2's). The ids of frequent words come from a minimal
-acyclic transducer (transducer.py) that every worker maps into memory; the ids of other words from exact merging by rank.
+acyclic transducer (transducer.py) that every worker maps into memory; other words are merged exactly, by the file's own
+merge list, with the tokenizers library's BPE model.
 
 Which words are frequent is counted over all texts: a task reports the words that make up at least ``share`` of its own
 words, and the reports are added up. A word with at least ``share`` of all words has it in at least one task, so no
@@ -11,19 +12,20 @@ such word is missed, and a task reports at most 1 / share words.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .common import chunks, put_bytes
+from .common import chunks, put_bytes, written
 from .transducer import Lexicon, compile_lexicon
 
 #: Unicode White_Space, as the tokenizer's \s; Python's own \s has four control characters more.
@@ -34,6 +36,10 @@ _WORD = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Letters with ASCII punctuation behind them.
+_PUNCTUATED = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]+)")
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -46,123 +52,80 @@ class BytePairEncoder:
 
     def __init__(self, tokenizer_json: str):
         import regex
+        from tokenizers import Tokenizer
 
         spec = json.loads(tokenizer_json)
         alphabet = byte_alphabet()
-        vocab = spec["model"]["vocab"]
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.alphabet = {b: ord(c) for c, b in alphabet.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.byte_ids = [0] * 256
-        for ch, b in alphabet.items():
-            self.byte_ids[b] = vocab[ch]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
-        self.bytes_of = {i: bytes(alphabet[c] for c in token) for token, i in vocab.items() if i not in self.special.values()}
-        self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
+        self.model = Tokenizer.from_str(tokenizer_json).model
+        vocab = spec["model"]["vocab"]
+        self.bytes_of = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
+        for token, i in vocab.items():
+            self.bytes_of[i] = token.encode() if token in self.special else bytes(alphabet[c] for c in token)
+        for token, i in self.special.items():
+            self.bytes_of[i] = token.encode()
+        self.decimal = [b"%d" % i for i in range(len(self.bytes_of))]
         self.pieces = regex.compile(_PIECE_PATTERN).findall
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Merges the pair of least rank, leftmost first, until no pair has a rank."""
-        ids = [self.byte_ids[b] for b in piece]
-        if len(ids) > 48:
-            return self._merge_long(ids)
-        get = self.merges.get
-        while len(ids) > 1:
-            best = min(filter(None, map(get, zip(ids, ids[1:]))), default=None)
-            if best is None:
-                break
-            i, out, n = 0, [], len(ids)
-            rank = best[0]
-            while i < n:
-                if i + 1 < n and (m := get((ids[i], ids[i + 1]))) is not None and m[0] == rank:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap and a linked list: n log n for long pieces."""
-        n, get = len(ids), self.merges.get
-        following, previous, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = following[i] if alive[i] else n
-            if j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], alive[j] = get((a, b))[1], False
-            following[i] = following[j]
-            if following[j] < n:
-                previous[following[j]] = i
-            for left, right in ((previous[i], i), (i, following[i])):
-                if left >= 0 and right < n and (m := get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (m[0], left, ids[left], ids[right]))
-        return [x for x, ok in zip(ids, alive, strict=True) if ok]
+    def merge(self, piece: str) -> list[int]:
+        """The ids of one piece of the pattern: its bytes, merged pair by pair in the order of the merge list."""
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
 
     def word(self, word: str) -> list[int]:
         """The ids of one word or run of white space."""
-        return [i for piece in self.pieces(word) for i in self.merge(piece.encode("utf-8", "surrogatepass"))]
+        if word.isalpha() or word[1:].isalpha() and word[0] == " ":
+            return self.merge(word)
+        return [i for piece in self.pieces(word) for i in self.merge(piece)]
 
 
 class Words(dict):
-    """From a word to (decimal ids joined by commas and preceded by one, number of ids, decoded bytes), by lexicon or merging."""
+    """From a word to its ids, packed as little-endian integers; by lexicon or merging, with a bounded memo of recent words."""
 
-    def __init__(self, encoder: BytePairEncoder, lexicon: Lexicon | None, bound: int = 200_000):
+    def __init__(self, encoder: BytePairEncoder, lexicon: Lexicon | None, bound: int = 600_000):
         super().__init__()
         self.encoder, self.lexicon, self.bound = encoder, lexicon, bound
+        self.dtype, self.code = ("<u2", "H") if len(encoder.bytes_of) <= 1 << 16 else ("<u4", "I")
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def ids(self, word: str) -> list[int]:
         found = self.lexicon.get(word.encode()) if self.lexicon is not None else None
         return self.encoder.word(word) if found is None else found
 
-    def entry(self, ids: list[int]) -> tuple[bytes, int, bytes]:
-        return b"".join(b",%d" % i for i in ids), len(ids), b"".join(map(self.encoder.bytes_of.__getitem__, ids))
-
-    def __missing__(self, word: str) -> tuple[bytes, int, bytes]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= self.bound:
             self.clear()
-        found = self.entry(self.ids(word))
+        if (m := _PUNCTUATED.fullmatch(word)) and m[1].strip(" ").isalpha():  # the pattern parts letters from what follows
+            found = self[m[1]] + self[m[2]]
+        else:
+            found = self.pack(self.ids(word))
         if len(word) <= 64:
             self[word] = found
         return found
 
-    def _parts(self, text: str) -> list[str]:
-        """Texts and special tokens in turn; the former at even places."""
-        if self.encoder.specials is None or "<" not in text:
-            return [text]
-        return self.encoder.specials.split(text)
-
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
-        out: list[int] = []
-        for i, part in enumerate(self._parts(text)):
-            if i % 2:
-                out.append(self.encoder.special[part])
-            else:
-                for word in _WORD.findall(part):
-                    out += self.ids(word)
-        return out
+        packed = []
+        parts = [text] if self.encoder.specials is None or "<" not in text else self.encoder.specials.split(text)
+        for i, part in enumerate(parts):  # texts and special tokens in turn
+            packed.append(self.pack([self.encoder.special[part]]) if i % 2 else b"".join(map(self.__getitem__, _WORD.findall(part))))
+        return np.frombuffer(b"".join(packed), dtype=self.dtype).tolist()
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, sha256 of the decimal ids, sha256 of the text decoded from them)."""
-        entries: list[tuple[bytes, int, bytes]] = []
-        for i, part in enumerate(self._parts(text)):
-            if i % 2:
-                entries.append(self.entry([self.encoder.special[part]]))
-            else:
-                entries += map(self.__getitem__, _WORD.findall(part))
-        if not entries:
-            return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
-        decimal, counts, decoded = zip(*entries, strict=True)
-        return sum(counts), hashlib.sha256(b"".join(decimal)[1:]).hexdigest(), hashlib.sha256(_text(b"".join(decoded))).hexdigest()
+    def raw(self, ids: list[int]) -> bytes:
+        """The bytes of ids as UTF-8, special tokens included, malformed parts replaced."""
+        return _text(b"".join(map(self.encoder.bytes_of.__getitem__, ids)))
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids, special tokens included."""
-        return b"".join(map(self.encoder.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return self.raw(ids).decode()
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """(number of ids, sha256 of the decimal ids, sha256 of the text decoded from them)."""
+        ids = self.encode(text)
+        decimal = b",".join(map(self.encoder.decimal.__getitem__, ids))
+        return len(ids), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(self.raw(ids)).hexdigest()
 
 
 def _text(raw: bytes) -> bytes:
@@ -193,6 +156,7 @@ def frequent_words(documents: DataFrame, share: float = 1 / 20_000) -> list[str]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept] + [None], pa.string()), pa.array([n for _, n in kept] + [total], pa.int64())], ["word", "n"])
 
     sums = documents.select(F.col("text").cast("string")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = written(sums, "word-counts")
     total = sums.filter(F.col("word").isNull()).select("n").first()
     if total is None or not total["n"]:
         return []

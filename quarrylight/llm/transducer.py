@@ -115,11 +115,16 @@ class Lexicon:
             begin += n
         self.first, self.final, self.label, self.target, self.output, self.at, self.all_ids = parts
         self.words = words
+        # what the first arc leads to, so that a lookup starts with one step less
+        self.start = {label: (self.target[a], self.output[a]) for a, label in enumerate(self.label[: self.first[1]])}
 
     def rank(self, word: bytes) -> int:
         """The word's number, or -1."""
-        first, label, state, rank = self.first, self.label, 0, 0
-        for byte in word:
+        first, label = self.first, self.label
+        state, rank = self.start.get(word[0], (-1, 0)) if word else (0, 0)
+        if state < 0:
+            return -1
+        for byte in word[1:]:
             end = first[state + 1]
             arc = bisect_left(label, byte, first[state], end)
             if arc == end or label[arc] != byte:
