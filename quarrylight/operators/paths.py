@@ -183,3 +183,8 @@ def missing_files(files: DataFrame) -> DataFrame:
     found = files.select(file_name(F.col("rel")).alias("name")).filter(F.col("name").isin([n for _, names, _, _ in CUSTOMARY for n in names])).distinct()
     present = wanted.select("label", F.explode("names").alias("name")).join(found, "name").select("label").distinct()
     return wanted.join(present, "label", "left_anti").drop("names")
+
+
+def mapped_lock(name: Column) -> Column:
+    """The ecosystem that a lock file's name belongs to, or null."""
+    return F.coalesce(*[F.when(name == n, F.lit(e)) for n, e in LOCKFILES.items()])
