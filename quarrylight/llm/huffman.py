@@ -42,17 +42,14 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     return lengths
 
 
-def canonical_codes(lengths: np.ndarray) -> np.ndarray:
-    """The code of every symbol, as an integer of its length."""
-    codes = np.zeros(len(lengths), dtype=np.uint32)
-    code = previous = 0
+def canonical_codes(lengths: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(codes by symbol, as integers of their length; the symbols with a code, by length and then symbol)."""
     order = np.lexsort((np.arange(len(lengths)), lengths))
-    for s in order[np.searchsorted(lengths[order], 1) :]:
-        n = int(lengths[s])
-        code <<= n - previous
-        codes[s], previous = code, n
-        code += 1
-    return codes
+    order = order[np.searchsorted(lengths[order], 1) :]
+    width = np.int64(1) << (limit - lengths[order].astype(np.int64))  # each takes this much of the space of limit bits
+    codes = np.zeros(len(lengths), dtype=np.int64)
+    codes[order] = (np.cumsum(width) - width) >> (limit - lengths[order].astype(np.int64))
+    return codes, order
 
 
 class Codec:
@@ -60,14 +57,12 @@ class Codec:
 
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths.astype(np.int64)
-        self.codes = canonical_codes(lengths).astype(np.int64)
+        self.codes, order = canonical_codes(lengths)
+        width = 1 << (MAX_BITS - self.lengths[order])
         self.symbol = np.zeros(1 << MAX_BITS, dtype=np.uint32)
         self.length = np.ones(1 << MAX_BITS, dtype=np.uint8)
-        for s in np.flatnonzero(lengths):
-            n = int(lengths[s])
-            first = int(self.codes[s]) << (MAX_BITS - n)
-            self.symbol[first : first + (1 << (MAX_BITS - n))] = s
-            self.length[first : first + (1 << (MAX_BITS - n))] = n
+        self.symbol[: width.sum()] = np.repeat(order, width)
+        self.length[: width.sum()] = np.repeat(lengths[order], width)
 
     def encode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Streams of consecutive runs of ids, run i having sizes[i]: (bytes, first byte of each run and the end, checkpoints).

@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
+from unicodedata import is_normalized
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
+from .bpe import byte_alphabet
 from .common import chunks, dropped, fresh_path, written
 from .huffman import Codec, code_lengths
 
@@ -33,10 +36,14 @@ from .huffman import Codec, code_lengths
 _WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+#: Letters with ASCII punctuation behind them.
+_PUNCTUATED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
+
+
 class WordCache(dict):
     """The ids, as little-endian bytes, of pieces of text that the tokenizer encodes independently of their neighbours."""
 
-    def __init__(self, tokenizer_path: str, bound: int = 250_000):
+    def __init__(self, tokenizer_path: str, bound: int = 600_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -44,16 +51,34 @@ class WordCache(dict):
         self.tokenizer, self.bound = Tokenizer.from_file(tokenizer_path), bound
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.alphabet = {b: ord(c) for c, b in byte_alphabet().items()}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.bound:
             self.clear()
-        found = self.ids(piece)
+        if piece.isalpha():
+            ascii_only = piece.isascii()
+            if piece.islower() and (ascii_only or is_normalized("NFC", piece)):
+                # nothing left to normalise or to part: the library's model reads the bytes as they are
+                plain = piece if ascii_only else piece.encode().decode("latin-1").translate(self.alphabet)
+                found = self.pack([t.id for t in self.model.tokenize(plain)])
+            elif ascii_only:  # the tokenizer lower-cases; beyond ASCII its rule is its own
+                found = self[piece.lower()]
+            else:
+                found = self.ids(piece)
+        elif (m := _PUNCTUATED.fullmatch(piece)) and m[1].isalpha():  # it parts letters from what follows
+            found = self[m[1]] + self[m[2]]
+        else:
+            found = self.ids(piece)
         if len(piece) <= 64:
             self[piece] = found
         return found
@@ -126,46 +151,34 @@ def write_token_file(tokens: DataFrame, path: str, item: str = "<u2", block_toke
     spark.createDataFrame(book, "symbol int, length int").coalesce(1).write.parquet(f"{path}/codebook")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(lengths)
-        for batch in chunks(batches, 4 << 20):
-            data, sizes = _flat(batch.column("ids"), width)
-            stream, at, marks = codec.encode(data.view(item), sizes)
-            cut = np.concatenate([[0], np.cumsum(-(-sizes // 64))])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes.astype(np.int32)), pa.array([stream[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary()), pa.array([marks[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
-                ["doc_id", "size", "data", "marks"],
-            )
-
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, start = TaskContext.get().partitionId(), 0, 0
-        rows: list[tuple] = []
+        codec, part, seq, start = Codec(lengths), TaskContext.get().partitionId(), 0, 0
+        rows: list[tuple[int | None, bytes]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, start, held, rows
-            ids, sizes, data, marks = zip(*rows, strict=True)
-            at = np.cumsum([0, *map(len, data)])[:-1]
+            sizes = np.array([len(raw) // width for _, raw in rows], dtype=np.int64)
+            data, at, marks = codec.encode(np.frombuffer(b"".join(raw for _, raw in rows), dtype=item), sizes)
             # a null id is written as the smallest integer
-            doc_ids = np.array([-(1 << 63) if i is None else i for i in ids], dtype="<i8")
-            out = [part, seq, start, held, doc_ids.tobytes(), np.array(sizes, "<u4").tobytes(), at.astype("<u4").tobytes(), b"".join(marks), b"".join(data)]
+            doc_ids = np.array([-(1 << 63) if i is None else i for i, _ in rows], dtype="<i8")
+            out = [part, seq, start, held, doc_ids.tobytes(), sizes.astype("<u4").tobytes(), at[:-1].astype("<u4").tobytes(), marks.astype("<u4").tobytes(), data]
             seq, start, held, rows = seq + 1, start + held, 0, []
             return pa.RecordBatch.from_pylist([dict(zip(BLOCK.names, out, strict=True))], schema=BLOCK)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "data", "marks")), strict=True):
+            for row in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 rows.append(row)
-                held += row[1]
+                held += len(row[1]) // width
                 if held >= block_tokens:
                     yield flush()
         if rows:
             yield flush()
 
-    coded = tokens.mapInArrow(encode, "doc_id bigint, size int, data binary, marks binary")
-    dealt = coded.repartitionByRange(partitions, "doc_id") if partitions else coded.repartitionByRange("doc_id")
-    ordered = dealt.sortWithinPartitions("doc_id", "data")
-    ordered.mapInArrow(block, BLOCK_DDL).write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt = tokens.repartitionByRange(partitions, "doc_id") if partitions else tokens.repartitionByRange("doc_id")
+    ordered = dealt.sortWithinPartitions("doc_id", "ids")
+    ordered.mapInArrow(encode, BLOCK_DDL).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 BLOCK = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), *[(c, pa.binary()) for c in ("doc_ids", "sizes", "offsets", "marks", "data")]])
