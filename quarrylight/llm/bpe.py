@@ -106,13 +106,16 @@ class Words(dict):
             self[word] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
         packed = []
         parts = [text] if self.encoder.specials is None or "<" not in text else self.encoder.specials.split(text)
         for i, part in enumerate(parts):  # texts and special tokens in turn
             packed.append(self.pack([self.encoder.special[part]]) if i % 2 else b"".join(map(self.__getitem__, _WORD.findall(part))))
-        return np.frombuffer(b"".join(packed), dtype=self.dtype).tolist()
+        return np.frombuffer(b"".join(packed), dtype=self.dtype)
+
+    def encode(self, text: str) -> list[int]:
+        return self.packed(text).tolist()
 
     def raw(self, ids: list[int]) -> bytes:
         """The bytes of ids as UTF-8, special tokens included, malformed parts replaced."""
@@ -121,11 +124,12 @@ class Words(dict):
     def decode(self, ids: list[int]) -> str:
         return self.raw(ids).decode()
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, sha256 of the decimal ids, sha256 of the text decoded from them)."""
-        ids = self.encode(text)
+    def digest(self, text: str) -> tuple[int, str, str, np.ndarray]:
+        """(number of ids, sha256 of the decimal ids, sha256 of the text decoded from them, the ids)."""
+        packed = self.packed(text)
+        ids = packed.tolist()
         decimal = b",".join(map(self.encoder.decimal.__getitem__, ids))
-        return len(ids), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(self.raw(ids)).hexdigest()
+        return len(ids), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(self.raw(ids)).hexdigest(), packed
 
 
 def _text(raw: bytes) -> bytes:
@@ -204,9 +208,9 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, share: float = 1
         words = _words(shared.value, name)
         for series in batches:
             rows = [words.digest(t or "") for t in series]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            out = pd.DataFrame([r[:3] for r in rows], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             if with_ids:
-                out["ids"] = [words.encode(t or "") for t in series]
+                out["ids"] = [r[3].astype(np.int32) for r in rows]
             yield out
 
     import pandas as pd

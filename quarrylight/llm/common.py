@@ -63,6 +63,12 @@ def dropped(*frames: DataFrame) -> None:
         remove(df.sparkSession, df._quarrylight_path)
 
 
+def small_side(df: DataFrame, rows: int = 400_000) -> DataFrame:
+    """df, a written table of few narrow columns, marked for broadcast if it has at most ``rows`` rows; else as it is, for a
+    shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def put_bytes(spark: SparkSession, data: bytes, name: str) -> str:
     """Writes data as one file of the shared folder through Hadoop's file system; returns its path."""
     path = f"{fresh_path(spark, name)}/{name}"

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .common import chunks, dropped, written
+from .common import chunks, dropped, small_side, written
 from .components import components
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -313,8 +313,8 @@ def keep_one(documents: DataFrame, words: int = 5, num: int = 4, den: int = 5) -
 
     Rows without words or with a null id stay, as do rows that share the least id."""
     found = jaccard_components(documents, words, num, den)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    gone = written(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "jaccard-gone")
+    return documents.join(small_side(gone), "doc_id", "left_anti")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
