@@ -18,6 +18,8 @@ from ..operators import findings as fi
 from ..operators import history as hi
 from ..operators import paths as pt
 from ..operators import text as tx
+from ..operators.frameworks import frameworks
+from ..sources import advisories as ad
 from ..sources.git import git, register
 from ..sources.manifests import manifests
 
@@ -47,8 +49,8 @@ class Audit:
     unavailable: dict[str, str] = field(default_factory=dict)
 
 
-def audit(spark: SparkSession, root: str, settings: Settings | None = None, now: int | None = None, only: set[str] | None = None) -> Audit:
-    """Measures the tree at root. Rows that describe single files are made in parallel; the report's tables are small."""
+def audit(spark: SparkSession, root: str, settings: Settings | None = None, now: int | None = None, only: set[str] | None = None, fetch=None) -> Audit:
+    """Measures the tree at root; fetch, if given, answers for the advisory database. Rows that describe single files are made in parallel; the report's tables are small."""
     settings, now = settings or Settings(), int(now if now is not None else time.time())
     register(spark)
     options = {"root": root, "exclude": "\n".join(settings.excludes), "include": "\n".join(settings["include"]), "max_file_bytes": str(settings["max_file_bytes"])}
@@ -160,8 +162,19 @@ def audit(spark: SparkSession, root: str, settings: Settings | None = None, now:
     times = lambda df: df.join(touched, "path", "left").select("path", "ecosystem", F.coalesce("last_ts", F.lit(0)).alias("mtime"))
     state = dp.lock_state(times(found.select(F.col("manifest").alias("path"), "ecosystem")), times(locks), touched)
     out.append(finding(state.filter("stale"), "deps.stale_lock", F.col("lock"), F.col("manifest")))
+    known = frameworks(deps, files.filter("is_test")).agg(F.count("*").alias("n")).join(F.broadcast(tests.agg(F.count("*").alias("tests"))))
+    out.append(finding(known.filter("n = 0 and tests > 0"), "tests.no_framework", F.lit("none recognised")))
     if found.isEmpty():
         unavailable["deps"] = "no manifest"
+    elif settings["online"] or fetch is not None:
+        ask, cache = fetch or ad.http_fetcher(), settings["cache_dir"] or None
+        wanted = dp.queryable(deps).persist()
+        hits = ad.matches(ad.answers(wanted, "query", ask, cache, settings["cache_ttl_hours"], now))
+        details = ad.advisories(ad.answers(hits.select(F.col("id").alias("key")), "advisory", ask, cache, settings["cache_ttl_hours"], now))
+        bad = dp.vulnerable(wanted, hits, dp.advisory_severity(details))
+        out.append(finding(bad, "deps.vulnerability", F.concat("name", F.lit(" "), "version", F.lit(": "), F.array_join("advisories", ", ")), F.col("manifest"), severity=F.col("severity")))
+    else:
+        metrics["advisories"] = "not asked: offline"
 
     rows = reduce(DataFrame.unionByName, out)
     if only:

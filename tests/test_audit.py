@@ -53,9 +53,15 @@ def repo(tmp_path_factory):
     return r
 
 
+def answer(kind, key):
+    if kind == "query":
+        return {"results": [{"vulns": [{"id": "X-1"}] if "requests" in key else []}]}
+    return {"id": key, "severity": [{"type": "CVSS_V3", "score": "9.8"}]}
+
+
 @pytest.fixture(scope="module")
 def result(spark, repo):
-    return audit(spark, repo.root, Settings(), NOW)
+    return audit(spark, repo.root, Settings(), NOW, fetch=answer)
 
 
 def test_sources(spark, repo):
@@ -75,7 +81,7 @@ def test_findings(result):
     expected = {
         ("complexity.complex_function", "src/core.py"), ("complexity.parse_error", "broken.py"), ("hotspots.high_churn_complex", "src/core.py"), ("tests.empty_test", "tests/test_core.py"),
         ("tests.flaky_smell", "tests/test_core.py"), ("hygiene.no_ci", None), ("hygiene.missing_file", None), ("deps.unpinned_prod", None), ("deps.dev_in_prod", "requirements.txt"), ("deps.missing_lock", None),
-        ("complexity.duplication", "src/again.py"),
+        ("complexity.duplication", "src/again.py"), ("deps.vulnerability", "requirements.txt"),
     }
     assert expected <= found
     assert not {r for r, _ in found} & {"hygiene.no_readme", "hygiene.dormant", "hygiene.single_author", "hygiene.conventional_commits"}
