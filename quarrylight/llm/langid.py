@@ -144,7 +144,7 @@ def learn(labelled: DataFrame, chars_per_language: int = 40_000, chars_per_row:
     room = dict.fromkeys(counts, chars_per_language)
     chosen = rows.filter(rank < share * (1 << 40)).select("lang", rank.alias("rank"), "doc_id", F.substring("text", 1, 4 * chars_per_row).alias("text"))
     for r in sorted(chosen.collect(), key=lambda r: (r["rank"], r["doc_id"], r["text"])):
-        piece = letters(r["text"])[: min(chars_per_row, room[r["lang"]])]
+        piece = letters(r["text"])[: max(0, min(chars_per_row, room[r["lang"]]))]
         if piece:
             gathered[r["lang"]].append(piece)
             room[r["lang"]] -= len(piece) + 1
