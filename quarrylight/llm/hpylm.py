@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .common import crc_mod, written
+from .common import chunks, crc_mod, written
 
 #: Stands for the end of a text among the words; no word holds white space.
 END = "\n"
@@ -125,11 +125,16 @@ def common_words(rows: DataFrame, most: int, share: float = 1 / 2000) -> list[st
 
 def _token_contexts(index: np.ndarray, first: np.ndarray, context_of: np.ndarray, none: int) -> np.ndarray:
     """The context of each token; first: where each document begins, and the end."""
-    at = np.arange(len(index))
-    latest = np.maximum.accumulate(np.where(context_of[index] >= 0, at, -1)) if len(index) else at
-    before = np.concatenate([[-1], latest[:-1]])[: len(index)]
-    inside = before >= np.repeat(first[:-1], np.diff(first))
-    return np.where(inside, context_of[index[np.maximum(before, 0)]], none)
+    n = len(index)
+    before = np.full(n, -1, dtype=np.int32)  # where the latest context word before each token stands
+    if n > 1:
+        at = np.arange(n - 1, dtype=np.int32)
+        at[context_of[index[:-1]] < 0] = -1
+        np.maximum.accumulate(at, out=before[1:])
+    inside = before >= np.repeat(first[:-1].astype(np.int32), np.diff(first))
+    found = context_of[index[np.maximum(before, 0, out=before)]]
+    found[~inside] = none
+    return found
 
 
 def _code(rows: DataFrame, contexts: list[str]) -> DataFrame:
@@ -142,7 +147,7 @@ def _code(rows: DataFrame, contexts: list[str]) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for number, batch in enumerate(b for b in batches if b.num_rows):
+        for number, batch in enumerate(chunks(batches, 18 << 20)):
             lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
             ends = lists.offsets.to_numpy().astype(np.int64)
             coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
@@ -151,7 +156,7 @@ def _code(rows: DataFrame, contexts: list[str]) -> DataFrame:
             real = index != blank
             size = np.diff(np.concatenate([[0], np.cumsum(real)])[ends - ends[0]]) + 1
             first = np.concatenate([[0], np.cumsum(size)])
-            tokens = np.full(int(first[-1]), len(names), dtype=np.int64)  # the end has the last number
+            tokens = np.full(int(first[-1]), len(names), dtype=np.int32)  # the end has the last number
             is_word = np.ones(len(tokens), dtype=bool)
             is_word[first[1:] - 1] = False
             tokens[is_word] = index[real]
@@ -159,18 +164,20 @@ def _code(rows: DataFrame, contexts: list[str]) -> DataFrame:
             # places by falling frequency: small numbers are common, and the packed places compress well
             order = np.argsort(-seen, kind="stable")
             order = order[seen[order] > 0]
-            place = np.zeros(len(names) + 1, dtype=np.int64)
+            place = np.zeros(len(names) + 1, dtype=np.int32)
             place[order] = np.arange(len(order))
             tokens = place[tokens]
-            context_of = np.full(len(order), -1)
+            del lists, coded, real, is_word
+            context_of = np.full(len(order), -1, dtype=np.int8)
             for f, w in enumerate(contexts):
                 i = pc.index(names, w).as_py() if len(names) else -1
                 if i >= 0:
                     context_of[place[i]] = f
             held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             learned = np.repeat(~held, size)
-            key = tokens * (none + 1) + _token_contexts(tokens, first, context_of, none)
-            counts = np.bincount(key[learned], minlength=len(order) * (none + 1)).reshape(len(order), none + 1)
+            key = tokens[learned].astype(np.int64) * (none + 1) + _token_contexts(tokens, first, context_of, none)[learned]
+            counts = np.bincount(key, minlength=len(order) * (none + 1)).reshape(len(order), none + 1)
+            del key, learned
             ids = batch.column("doc_id")
             planes = tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
             payload = [
@@ -287,9 +294,9 @@ def fit_and_score(documents: DataFrame, sweeps: int = 3, contexts: int = 8, stre
             at += 8 + n
         n_words = int(np.frombuffer(parts[0], "<i8")[0])
         ids, known, held = np.frombuffer(parts[1], "<i8"), np.frombuffer(parts[2], bool), np.frombuffer(parts[3], bool)
-        size, context_of = np.frombuffer(parts[4], "<u4").astype(np.int64), np.frombuffer(parts[5], "<i1").astype(np.int64)
+        size, context_of = np.frombuffer(parts[4], "<u4").astype(np.int64), np.frombuffer(parts[5], "<i1")
         n = int(size.sum())
-        tokens = np.frombuffer(pa.decompress(parts[6], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
+        tokens = np.frombuffer(pa.decompress(parts[6], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<i4").ravel()
         first = np.concatenate([[0], np.cumsum(size)])
         context = _token_contexts(tokens, first, context_of, width - 1)
         count = np.zeros(n_words, dtype=np.int64)
@@ -299,7 +306,7 @@ def fit_and_score(documents: DataFrame, sweeps: int = 3, contexts: int = 8, stre
             p = np.frombuffer(p, "<i4")
             count[p], above[p] = np.frombuffer(c, "<i8"), np.frombuffer(a, "<f4").reshape(len(p), -1)
             own[np.frombuffer(pair_place, "<i4").astype(np.int64) * width + np.frombuffer(f, "<u1")] = np.frombuffer(value, "<f4")
-        prob = own[tokens * width + context].astype(np.float64)
+        prob = own[tokens.astype(np.int64) * width + context].astype(np.float64)
         for k, totals in enumerate(kept):
             prob += m.back_off(totals)[context] * above[tokens, k] / len(kept)
         doc = np.repeat(np.arange(len(size)), size)
