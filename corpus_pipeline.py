@@ -17,7 +17,7 @@ from quarrylight.tables import table
 
 #: A longer text that costs more bits a character than random letters and spaces do is in none of the languages.
 RANDOM_BITS = math.log2(27)
-SHORT_TEXT = 100
+SHORT_TEXT = 400
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

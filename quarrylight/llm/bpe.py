@@ -83,7 +83,7 @@ class BytePairEncoder:
 class Words(dict):
     """From a word to its ids, packed as little-endian integers; by lexicon or merging, with a bounded memo of recent words."""
 
-    def __init__(self, encoder: BytePairEncoder, lexicon: Lexicon | None, bound: int = 600_000):
+    def __init__(self, encoder: BytePairEncoder, lexicon: Lexicon | None, bound: int = 400_000):
         super().__init__()
         self.encoder, self.lexicon, self.bound = encoder, lexicon, bound
         self.dtype, self.code = ("<u2", "H") if len(encoder.bytes_of) <= 1 << 16 else ("<u4", "I")
@@ -207,11 +207,12 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, share: float = 1
 
         words = _words(shared.value, name)
         for series in batches:
-            rows = [words.digest(t or "") for t in series]
-            out = pd.DataFrame([r[:3] for r in rows], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            if with_ids:
-                out["ids"] = [r[3].astype(np.int32) for r in rows]
-            yield out
+            for at in range(0, len(series), 256):  # small pieces: ids take several times the room of their text
+                rows = [words.digest(t or "") for t in series[at : at + 256]]
+                out = pd.DataFrame([r[:3] for r in rows], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    out["ids"] = [r[3].astype(np.int32) for r in rows]
+                yield out
 
     import pandas as pd
 
