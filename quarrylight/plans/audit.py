@@ -91,6 +91,8 @@ def audit(spark: SparkSession, root: str, settings: Settings | None = None, now:
     history = hi.file_history(commits, changes)
     peak = F.coalesce(F.array_max(F.transform("metrics.functions", lambda f: f["complexity"])), F.lit(0))
     measured = stats.select("rel", "total_lines", "is_test", F.col("metrics.max_depth").alias("max_depth"), peak.alias("peak_complexity"), F.col("metrics.exact").alias("exact"))
+    bare = changes.agg(F.count("*").alias("n")).filter(F.col("n") == 0) if n_commits else changes.limit(0)
+    out.append(finding(bare, "hotspots.history_unavailable", F.lit("commits without file changes")))
     if n_commits < 3:
         unavailable["hotspots"] = "fewer than three commits in the window"
     else:
@@ -109,6 +111,8 @@ def audit(spark: SparkSession, root: str, settings: Settings | None = None, now:
     out.append(finding(pt.uncovered(tagged), "tests.no_counterpart", F.concat("sources", F.lit(" source files")), F.col("dir")))
     asserted = tests.withColumn("n", tx.assertions(F.col("text")))
     out.append(finding(asserted.filter((F.col("code_lines") >= 30) & (F.col("n") == 0)), "tests.low_assertion_density", F.lit("no assertion"), rel, confidence="heuristic"))
+    density = asserted.agg(F.sum("n").alias("n"), F.sum("code_lines").alias("lines")).filter((F.col("lines") > 0) & (100.0 * F.col("n") / F.col("lines") < settings["test_min_assertions_per_100_lines"]))
+    out.append(finding(density, "tests.low_assertion_density", F.concat("n", F.lit(" assertions in "), "lines", F.lit(" lines")), confidence="heuristic"))
     out.append(finding(tx.smells(tests, tx.SKIPPED), "tests.skipped_leftover", F.col("label"), rel, F.col("line"), confidence="heuristic"))
     out.append(finding(tx.smells(tests, tx.FLAKY), "tests.flaky_smell", F.col("label"), rel, F.col("line"), confidence="heuristic"))
     out.append(finding(tests.select("rel", F.explode("metrics.empty_tests").alias("at")), "tests.empty_test", F.lit("empty"), rel, F.col("at")))

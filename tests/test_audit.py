@@ -101,6 +101,16 @@ def test_tree_without_history(spark, tmp_path):
     assert ("hygiene.history_unavailable",) in {(r.rule,) for r in run.findings.collect()}
 
 
+def test_history_without_files(spark, tmp_path):
+    r = Repo(tmp_path)
+    for i in range(4):
+        r.commit(f"step {i}", days=4 - i)
+    run = audit(spark, r.root, Settings(), NOW)
+    rules = {x.rule for x in run.findings.collect()}
+    assert {"hotspots.history_unavailable", "hygiene.single_author", "hygiene.conventional_commits"} <= rules
+    assert run.scores.filter("dimension = 'hotspots'").first().score is None
+
+
 def test_command_line(spark, repo, tmp_path, capsys):
     base, out = str(tmp_path / "b.json"), str(tmp_path / "o" / "r.json")
     args = [repo.root, "--now", str(NOW)]
