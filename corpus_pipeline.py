@@ -15,15 +15,16 @@ from quarrylight.llm import bpe, decontaminate, jaccard, langid, secrets
 from quarrylight.llm.common import written
 from quarrylight.tables import table
 
-#: A longer text that costs more bits a character than random letters and spaces do is in none of the languages.
-RANDOM_BITS = math.log2(27)
-SHORT_TEXT = 400
+#: A longer text that costs more bits a character is in none of the languages: known letters in any order cost about
+#: log2(27), letters that no sample holds the logarithm of a sample's length, about 15.
+FOREIGN_BITS = 1.5 * math.log2(27)
+SHORT_TEXT = 100
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in no language: without a letter, or of some length and unlike all learned ones."""
     judged = langid.identify(docs, langid.learn(langid.training_rows(docs)))
-    kept = judged.filter((F.col("lang_pred") != langid.UNDETERMINED) & ((F.col("bits_per_char") <= RANDOM_BITS) | (F.length("text") < SHORT_TEXT)))
+    kept = judged.filter((F.col("lang_pred") != langid.UNDETERMINED) & ((F.col("bits_per_char") <= FOREIGN_BITS) | (F.length("text") < SHORT_TEXT)))
     return kept.select(docs.columns)
 
 
