@@ -147,7 +147,7 @@ def _code(rows: DataFrame, contexts: list[str]) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for number, batch in enumerate(chunks(batches, 18 << 20)):
+        for number, batch in enumerate(chunks(batches, 12 << 20)):
             lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
             ends = lists.offsets.to_numpy().astype(np.int64)
             coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
