@@ -1,18 +1,21 @@
-"""Language-model scoring with a hierarchical Pitman-Yor model.
+"""Language-model scoring with a hierarchical Pitman-Yor model of word pairs.
 
-A token's context is the last token before it that is one of the ``contexts`` most frequent words of the corpus (or
-none): function words, which tell language and style. Each context has a restaurant of its own; all share one parent,
-the restaurant without context, whose base is uniform over the known words, the end and one unknown word.
+A token's context is the token before it; the first of a document follows the end of one. Every word that precedes another
+has a restaurant of its own; all share one parent, the restaurant without context, whose base is uniform over the known
+words, the end and one unknown word.
 
 Seating is sampled by Gibbs sweeps: each sweep seats the customers of every dish anew, given the totals of each restaurant
 and the parent's probabilities of the sweep before; the tables of the contexts' restaurants are the parent's customers.
 Customers of a dish are seated one by one up to the 32nd, then in growing blocks whose number of new tables is drawn as a
-whole. Predictive probabilities are averaged over the sweeps after the first.
-
-Distribution: given the restaurants' totals, words are independent, so a sweep is a map over the table of words and a sum.
-Documents are coded in blocks against the block's own dictionary; only a row of counts for each word leaves a block and
-is summed over the blocks, and what the model says of a word comes back to the blocks that hold it. A word in
-every document moves once a block. What reaches the driver is a number for each restaurant.
+whole. The contexts' discount and strength are those under which training tokens, each left out in turn, are most likely.
+Predictive probabilities are averaged over the sweeps after the first.
+
+Distribution: documents are coded in blocks against the block's own dictionary. A block's distinct pairs are summed over
+the blocks. A pair seen once has one table whatever is drawn, so only pairs seen twice or more take part in the sweeps, as
+joins with the table of words; what single pairs add to a restaurant is what the others leave of its customers. The blocks
+get back what the model says of their words and of those pairs that other blocks hold too or that occur again.
+Words are known by 64 bits of their hash; two would collide with negligible probability. What reaches the driver is a
+few numbers a sweep.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pandas.util import hash_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .common import chunks, crc_mod, written
+from .common import chunks, crc_mod, dropped, written
 
 #: Stands for the end of a text among the words; no word holds white space.
 END = "\n"
@@ -68,7 +72,8 @@ class Totals:
 
 @dataclass
 class Model:
-    """customers: tokens of each context; kinds: known words and the end; discounts and strength; the totals of each sweep."""
+    """customers: tokens of each context; kinds: known words and the end; discounts; the parent's strength and the contexts';
+    the totals of each sweep."""
 
     customers: np.ndarray
     kinds: int
@@ -76,6 +81,7 @@ class Model:
     parent_discount: float
     strength: float
     sweeps: list[Totals] = field(default_factory=list)
+    context_strength: float = 1.0
 
     def parent(self, customers: np.ndarray | float, tables: np.ndarray | float, totals: Totals) -> np.ndarray | float:
         """The parent's probability of a dish with so many customers and tables."""
@@ -84,7 +90,7 @@ class Model:
 
     def back_off(self, totals: Totals) -> np.ndarray:
         """The share of each context's restaurant that comes from the parent."""
-        return (self.strength + self.discount * totals.context_tables) / (self.strength + self.customers)
+        return (self.context_strength + self.discount * totals.context_tables) / (self.context_strength + self.customers)
 
     def run(self, counts: np.ndarray, hashes: np.ndarray, last: bool = False) -> Iterator[tuple]:
         """Seats the words once for each sweep whose totals are known, and once more if ``last``:
@@ -97,7 +103,7 @@ class Model:
             above = self.parent(customers, tables, before if number else first)
             seated = np.zeros_like(counts)
             for f in range(counts.shape[1]):
-                mass = (self.strength + self.discount * before.context_tables[f]) * above
+                mass = (self.context_strength + self.discount * before.context_tables[f]) * above
                 seated[:, f] = seat(counts[:, f], mass, self.discount, hashes, number * 100 + f)
             customers = seated.sum(axis=1)
             mass = np.full(len(counts), (self.strength + self.parent_discount * before.tables) / (self.kinds + 1))
@@ -105,43 +111,57 @@ class Model:
             yield seated, customers, tables
 
 
-def common_words(rows: DataFrame, most: int, share: float = 1 / 2000) -> list[str]:
-    """The ``most`` words that occur most often in rows to learn from; a task reports those with ``share`` of its own."""
+#: Among these (discount, strength) those of the contexts' restaurants are chosen.
+CHOICES = [(float(d), float(s)) for d in np.arange(0.05, 1, 0.1) for s in np.geomspace(0.1, 10_000, 16)]
+
+
+def left_out(single: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Log probability of pairs seen once, each left out in turn, at each of CHOICES, but for the parent's part, the same at all."""
+    (k, n, t), times = np.unique(np.stack([single, customers, tables]).astype(np.float64), axis=1, return_counts=True)
+    n, t = np.maximum(n - 1, 0), np.maximum(t - 1, 0)
+    return np.array([(times * k * np.log((s + d * t) / (s + n))).sum() for d, s in CHOICES])
+
+
+def left_out_repeated(count: np.ndarray, customers: np.ndarray, tables: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """The same of the tokens of pairs seen more than once, of one table each."""
+    return np.array([(count * np.log((count - 1 - d + (s + d * tables) * above) / (s + customers - 1))).sum() for d, s in CHOICES])
+
+
+def _summed(rows: DataFrame, columns: list[str], function) -> np.ndarray:
+    """function of the columns, summed over batches; each batch's part is rounded, so that the order is of no effect."""
+    names = [f"s{i}" for i in range(len(CHOICES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, int] = {}
+        total = np.zeros(len(names))
         for batch in batches:
-            words = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text"))).flatten()
-            seen = words.value_counts()
-            for w in seen.filter(pc.greater_equal(seen.field("counts"), max(1, int(share * len(words))))).to_pylist():
-                if w["values"]:
-                    sums[w["values"]] = sums.get(w["values"], 0) + w["counts"]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
-
-    seen = rows.filter(~F.col("held_out") & F.col("text").isNotNull()).select("text").mapInArrow(run, "word string, n bigint")
-    top = seen.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in top.collect()]
-
-
-def _token_contexts(index: np.ndarray, first: np.ndarray, context_of: np.ndarray, none: int) -> np.ndarray:
-    """The context of each token; first: where each document begins, and the end."""
-    n = len(index)
-    before = np.full(n, -1, dtype=np.int32)  # where the latest context word before each token stands
-    if n > 1:
-        at = np.arange(n - 1, dtype=np.int32)
-        at[context_of[index[:-1]] < 0] = -1
-        np.maximum.accumulate(at, out=before[1:])
-    inside = before >= np.repeat(first[:-1].astype(np.int32), np.diff(first))
-    found = context_of[index[np.maximum(before, 0, out=before)]]
-    found[~inside] = none
-    return found
-
-
-def _code(rows: DataFrame, contexts: list[str]) -> DataFrame:
-    """Rows of two kinds: a block's documents, packed (word null); a block's words with their place and training counts."""
-    none = len(contexts)
-    names_n = [f"n{f}" for f in range(none + 1)]
-    schema = pa.schema([("block", pa.int64()), ("word", pa.string()), ("place", pa.int32()), *[(c, pa.int64()) for c in names_n], ("payload", pa.binary())])
+            total += function(*(batch.column(c).to_numpy() for c in columns))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in np.rint(total * 1024).astype(np.int64)], names)
+
+    row = rows.select(*columns).mapInArrow(run, ", ".join(f"{c} bigint" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first()
+    return np.array([x or 0 for x in row], dtype=np.float64)
+
+
+def _choose(words: DataFrame, pairs: DataFrame, model: Model) -> tuple[float, float]:
+    """The discount and strength under which each training token, left out in turn, is most likely given the rest."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def repeated(count, customers, tables, c, t):
+        m = shared.value
+        return left_out_repeated(count, customers, tables, m.parent(c, t, m.sweeps[0]))
+
+    joined = pairs.select("u", "w", F.col("n").alias("count")).join(words.select(F.col("h").alias("u"), F.col("n").alias("customers"), "tables"), "u")
+    joined = joined.join(words.select(F.col("h").alias("w"), "c", "t"), "w")
+    found = _summed(words, ["single_u", "n", "tables"], left_out) + _summed(joined, ["count", "customers", "tables", "c", "t"], repeated)
+    return CHOICES[int(np.argmax(found))]
+
+
+def _pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ w.view(np.uint64)
+
+
+def _code(rows: DataFrame) -> DataFrame:
+    """Rows of two kinds: a block's documents, packed (h null); a block's words with their place and training counts."""
+    schema = pa.schema([("block", pa.int64()), ("h", pa.int64()), ("place", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -167,162 +187,220 @@ def _code(rows: DataFrame, contexts: list[str]) -> DataFrame:
             place = np.zeros(len(names) + 1, dtype=np.int32)
             place[order] = np.arange(len(order))
             tokens = place[tokens]
-            del lists, coded, real, is_word
-            context_of = np.full(len(order), -1, dtype=np.int8)
-            for f, w in enumerate(contexts):
-                i = pc.index(names, w).as_py() if len(names) else -1
-                if i >= 0:
-                    context_of[place[i]] = f
+            words = pa.concat_arrays([names.cast(pa.string()), pa.array([END])]).take(pa.array(order))
+            hashes = hash_array(words.to_numpy(zero_copy_only=False), categorize=False).view(np.int64)
+            del lists, coded, real, is_word, words
             held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            learned = np.repeat(~held, size)
-            key = tokens[learned].astype(np.int64) * (none + 1) + _token_contexts(tokens, first, context_of, none)[learned]
-            counts = np.bincount(key, minlength=len(order) * (none + 1)).reshape(len(order), none + 1)
-            del key, learned
+            counts = np.bincount(tokens[np.repeat(~held, size)], minlength=len(order))
             ids = batch.column("doc_id")
             planes = tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
             payload = [
-                np.array([len(order)], "<i8").tobytes(), ids.fill_null(0).to_numpy().astype("<i8").tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), held.tobytes(),
-                size.astype("<u4").tobytes(), context_of.astype("<i1").tobytes(), pa.compress(planes, codec="zstd", asbytes=True),
+                hashes.astype("<i8").tobytes(), ids.fill_null(0).to_numpy().astype("<i8").tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), held.tobytes(),
+                size.astype("<u4").tobytes(), pa.compress(planes, codec="zstd", asbytes=True),
             ]
             block = (part << 24) + number
 
-            def rows_of(words: pa.Array, places, counts, payloads) -> pa.RecordBatch:
-                n = len(words)
-                columns = [np.full(n, block), words, pa.array(places, pa.int32()), *counts.T, pa.array(payloads, pa.binary())]  # noqa: B023
-                return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], schema=schema)
+            def rows_of(h, places, counts, payloads) -> pa.RecordBatch:
+                columns = [pa.array(np.full(len(payloads), block)), pa.array(h, pa.int64()), pa.array(places, pa.int32()), pa.array(counts, pa.int64()), pa.array(payloads, pa.binary())]  # noqa: B023
+                return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-            yield rows_of(pa.array([None], pa.string()), [None], np.zeros((1, none + 1), np.int64), [b"".join(len(x).to_bytes(8, "little") + x for x in payload)])
-            words = pa.concat_arrays([names.cast(pa.string()), pa.array([END])])
+            yield rows_of([None], [None], [0], [b"".join(len(x).to_bytes(8, "little") + x for x in payload)])
             for a in range(0, len(order), 50_000):
-                mine = order[a : a + 50_000]
-                yield rows_of(words.take(pa.array(mine)), np.arange(a, a + len(mine)), counts[a : a + len(mine)], [None] * len(mine))
+                n = len(order[a : a + 50_000])
+                yield rows_of(hashes[a : a + n], np.arange(a, a + n), counts[a : a + n], [None] * n)
+
+    return rows.mapInArrow(run, "block bigint, h bigint, place int, n bigint, payload binary")
 
-    return rows.mapInArrow(run, "block bigint, word string, place int, " + ", ".join(f"{c} bigint" for c in names_n) + ", payload binary")
 
+@dataclass
+class Block:
+    """A block's documents: hashes of its words by place; ids, whether known; held out; tokens of each; places of all tokens."""
+
+    hashes: np.ndarray
+    ids: np.ndarray
+    known: np.ndarray
+    held: np.ndarray
+    size: np.ndarray
+    tokens: np.ndarray
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Block:
+        parts, at = [], 0
+        while at < len(raw):
+            n = int.from_bytes(raw[at : at + 8], "little")
+            parts.append(raw[at + 8 : at + 8 + n])
+            at += 8 + n
+        size = np.frombuffer(parts[4], "<u4").astype(np.int64)
+        n = int(size.sum())
+        tokens = np.frombuffer(pa.decompress(parts[5], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<i4").ravel()
+        return cls(np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8"), np.frombuffer(parts[2], bool), np.frombuffer(parts[3], bool), size, tokens)
 
-def _counts(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.stack([batch.column(f"n{f}").to_numpy() for f in range(width)], axis=1), batch.column("h").to_numpy().view(np.uint64)
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the distinct pairs: place of the context, place of the word, training count; and the pair of each token."""
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]  # a document's first token follows the end of the one before
+        before[:1] = self.tokens[-1:]  # and the block's first the last end
+        keys, pair = np.unique(before.astype(np.int64) * len(self.hashes) + self.tokens, return_inverse=True)
+        counts = np.bincount(pair[np.repeat(~self.held, self.size)], minlength=len(keys))
+        return keys // len(self.hashes), keys % len(self.hashes), counts, pair
 
 
-def _sweep(words: DataFrame, model: Model) -> Totals:
-    """The totals after one more sweep over all words."""
-    width = len(model.customers)
-    shared = words.sparkSession.sparkContext.broadcast(model)
-    names = [f"t{f}" for f in range(width)]
+def _block_pairs(blocks: DataFrame) -> DataFrame:
+    """The distinct pairs of each block: hashes of context and word, training count, the pair's place in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(width + 2, dtype=np.int64)
         for batch in batches:
-            *_, (seated, customers, tables) = shared.value.run(*_counts(batch, width), last=True)
-            sums += np.concatenate([seated.sum(axis=0), [customers.sum(), tables.sum()]])
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], [*names, "customers", "tables"])
+            for number, raw in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
+                block = Block.unpacked(raw.as_py())
+                u, w, n, _ = block.pairs()
+                u, w = block.hashes[u], block.hashes[w]
+                for a in range(0, len(u), 50_000):
+                    z = slice(a, a + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[z], w[z], n[z], np.full(len(u[z]), number), np.arange(a, a + len(u[z]), dtype=np.int32))], ["u", "w", "n", "block", "place"])
 
-    columns = [*names, "customers", "tables"]
-    one = words.select("h", *[f"n{f}" for f in range(width)]).mapInArrow(run, ", ".join(f"{c} bigint" for c in columns))
-    row = one.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns]).first()
-    return Totals(np.array([row[c] for c in names], dtype=np.float64), float(row["customers"]), float(row["tables"]))
+    return blocks.mapInArrow(run, "u bigint, w bigint, n bigint, block bigint, place int")
 
 
-def fit_and_score(documents: DataFrame, sweeps: int = 3, contexts: int = 8, strength: float = 1.0) -> DataFrame:
+def _swept(words: DataFrame, pairs: DataFrame, model: Model, number: int, add: bool) -> tuple[DataFrame, DataFrame, Totals]:
+    """Words and repeated pairs after one more sweep, and its totals; ``add``: whether the pairs' tables count in their sum."""
+    shared = words.sparkSession.sparkContext.broadcast((model, model.sweeps[-1]))
+
+    def seat_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, before = shared.value
+        for batch in batches:
+            u, w, n, total, tables, above_c, above_t = (batch.column(c).to_numpy() for c in ("u", "w", "n", "total", "tables", "above_c", "above_t"))
+            mass = (m.context_strength + m.discount * tables) * m.parent(above_c, above_t, before)
+            t = seat(n, mass, m.discount, _pair_hash(u, w), number * 100)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, n, t, total + t * add)], ["u", "w", "n", "t", "total"])
+
+    def seat_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, before = shared.value
+        for batch in batches:
+            h, c = batch.column("h").to_numpy(), batch.column("c").to_numpy()
+            mass = np.full(len(c), (m.strength + m.parent_discount * before.tables) / (m.kinds + 1))
+            t = seat(c, mass, m.parent_discount, h.view(np.uint64), number * 100 + 99)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("h", "n", "single_u", "single_w", "tables", "c")), pa.array(t)], ["h", "n", "single_u", "single_w", "tables", "c", "t"])
+
+    joined = pairs.join(words.select(F.col("h").alias("u"), "tables"), "u").join(words.select(F.col("h").alias("w"), F.col("c").alias("above_c"), F.col("t").alias("above_t")), "w")
+    seated = joined.select("u", "w", "n", "total", "tables", "above_c", "above_t").mapInArrow(seat_pairs, "u bigint, w bigint, n bigint, t bigint, total bigint")
+    seated = written(seated, "lm-pairs")
+    sums = _ends(seated, F.col("t")).select("h", F.col("as_u").alias("t_u"), F.col("as_w").alias("t_w"))
+    next_words = words.select("h", "n", "single_u", "single_w").join(sums, "h", "left")
+    next_words = next_words.select("h", "n", "single_u", "single_w", (F.col("single_u") + F.coalesce("t_u", F.lit(0))).alias("tables"), (F.col("single_w") + F.coalesce("t_w", F.lit(0))).alias("c"))
+    next_words = written(next_words.mapInArrow(seat_words, WORDS), "lm-words")
+    row = next_words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+    return next_words, seated, Totals(np.zeros(0), float(row["c"]), float(row["t"]))
+
+
+WORDS = "h bigint, n bigint, single_u bigint, single_w bigint, tables bigint, c bigint, t bigint"
+
+
+def _ends(pairs: DataFrame, value: Column) -> DataFrame:
+    """(h, as_u, as_w, pairs_u, pairs_w): value summed, and rows counted, by the pairs' contexts and by their words."""
+    zero = F.lit(0).cast("bigint")
+    one = F.lit(1).cast("bigint")
+    side = lambda c, *v: pairs.select(F.col(c).alias("h"), *(x.alias(k) for x, k in zip(v, ("as_u", "as_w", "pairs_u", "pairs_w"), strict=True)))
+    both = side("u", value, zero, one, zero).unionByName(side("w", zero, value, zero, one))
+    return both.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("as_u", "as_w", "pairs_u", "pairs_w")])
+
+
+def _packed(rows: DataFrame, kind: int, columns: list[str]) -> DataFrame:
+    """One row for each block among a batch of rows (block, columns): kind and the columns as arrays of 64-bit floats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            values = np.stack([batch.column(c).to_numpy().astype("<f8") for c in columns])
+            order = np.argsort(block, kind="stable")
+            blocks, cuts = np.unique(block[order], return_index=True)
+            data = [np.ascontiguousarray(values[:, mine]).tobytes() for mine in np.split(order, cuts[1:])] if len(block) else []
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(np.full(len(blocks), kind), pa.int32()), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in data], pa.binary()), pa.array([len(x) for x in data], pa.int64())], ["block", "kind", "data", "size"])
+
+    return rows.select("block", *columns).mapInArrow(run, "block bigint, kind int, data binary, size bigint")
+
+
+def fit_and_score(documents: DataFrame, sweeps: int = 3, strength: float = 1.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of documents.
 
     documents: doc_id, text, held_out boolean (null counts as false: learned from); other columns are ignored. Tokens are
     words parted by ASCII white space, A-Z lower-cased, and one end; a null text has only the end. Rows are scored one
     by one, so repeated rows and null ids need no rule; an empty table gives an empty result. If nothing is learned,
-    every token is unknown.
+    every token is unknown. ``sweeps`` is at least 1.
     """
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    width = contexts + 1
-    names = common_words(rows, contexts)
-    names += [END] * (contexts - len(names))  # of no effect: nothing follows an end
-    coded = written(_code(rows, names), "lm-coded")
-    counts = [f"n{f}" for f in range(width)]
-    # The blocks of a word are at most all blocks, however many documents hold it.
-    words = coded.filter(F.col("word").isNotNull()).groupBy("word").agg(*[F.sum(c).alias(c) for c in counts], F.collect_list(F.struct("block", "place")).alias("where"))
-    total = sum((F.col(c) for c in counts), F.lit(0))
-    words = written(words.filter(total > 0).withColumn("h", F.xxhash64("word")), "lm-words")
-
-    some = lambda test: sum((F.when(test(F.col(c)), 1).otherwise(0) for c in counts), F.lit(0))
-    open_in = some(lambda c: c > 0)
+    coded = written(_code(rows), "lm-coded")
+    blocks = coded.filter(F.col("h").isNull()).select("block", "payload")
+    # The blocks of a word or pair are at most all blocks, however many documents hold it.
+    places = written(coded.filter(F.col("h").isNotNull()).groupBy("h").agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "place")).alias("where")).filter(F.col("n") > 0), "lm-places")
+    same = Window.partitionBy("u", "w")
+    found = _block_pairs(blocks).withColumn("all", F.sum("n").over(same)).withColumn("blocks", F.count("*").over(same)).withColumn("nth", F.row_number().over(same.orderBy("block")))
+    # A pair of one training token and one block is settled within the block.
+    found = written(found.filter((F.col("all") > 1) | ((F.col("all") == 1) & (F.col("blocks") > 1))).select("u", "w", "block", "place", "all", "nth"), "lm-found")
+    pairs = found.filter((F.col("nth") == 1) & (F.col("all") > 1)).select("u", "w", F.col("all").alias("n"), F.lit(0).cast("bigint").alias("total"))
+
+    # Pairs seen once: those of a word's customers that are in no repeated pair, each with one table.
+    words = places.select("h", "n").join(_ends(pairs, F.col("n")), "h", "left").na.fill(0)
+    words = words.select("h", "n", (F.col("n") - F.col("as_u")).alias("single_u"), (F.col("n") - F.col("as_w")).alias("single_w"), "pairs_u", "pairs_w")
+    words = words.select("h", "n", "single_u", "single_w", (F.col("single_u") + F.col("pairs_u")).alias("tables"), (F.col("single_w") + F.col("pairs_w")).alias("c"), F.lit(1).cast("bigint").alias("t"))
+    words = written(words, "lm-words")
     facts = words.agg(
-        F.count("*").alias("kinds"), F.sum(some(lambda c: c == 1)).alias("once"), F.sum(some(lambda c: c == 2)).alias("twice"),
-        F.count_if(open_in == 1).alias("in_one"), F.count_if(open_in == 2).alias("in_two"), F.sum(open_in).alias("opened"),
-        *[F.sum(c).alias(c) for c in counts], *[F.count_if(F.col(c) > 0).alias(f"t{f}") for f, c in enumerate(counts)],
+        F.count("*").alias("kinds"), F.sum("n").alias("learned"), F.sum("c").alias("opened"),
+        F.count_if(F.col("c") == 1).alias("in_one"), F.count_if(F.col("c") == 2).alias("in_two"),
     ).first()
     estimate = lambda one, two: min(0.95, max(0.05, (one or 0) / max((one or 0) + 2 * (two or 0), 1)))
-    customers = np.array([facts[c] or 0 for c in counts], dtype=np.float64)
-    start = Totals(np.array([facts[f"t{f}"] for f in range(width)], dtype=np.float64), float(facts["opened"] or 0), float(facts["kinds"]))
-    model = Model(customers, facts["kinds"], estimate(facts["once"], facts["twice"]), estimate(facts["in_one"], facts["in_two"]), strength, [start])
-    for _ in range(sweeps):
-        model.sweeps.append(_sweep(words, model))
-    kept = model.sweeps[min(2, sweeps) :]
-    learned = int(customers.sum())
+    learned, start = int(facts["learned"] or 0), Totals(np.zeros(0), float(facts["opened"] or 0), float(facts["kinds"]))
+    model = Model(np.zeros(0), facts["kinds"], 0.5, estimate(facts["in_one"], facts["in_two"]), strength, [start])
+    model.discount, model.context_strength = _choose(words, pairs, model)
+    kept, states = min(2, sweeps), []
+    for number in range(1, sweeps + 1):
+        before = words, pairs
+        words, pairs, totals = _swept(words, pairs, model, number, number >= kept)
+        dropped(*(x for x in before if x not in states and hasattr(x, "_quarrylight_path")))
+        pairs_table, pairs = pairs, pairs.select("u", "w", "n", "total")
+        pairs._quarrylight_path = pairs_table._quarrylight_path
+        model.sweeps.append(totals)
+        if number >= kept:
+            states.append(words)
+    n_kept = len(states)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            n, hashes = _counts(batch, width)
-            above, own = [], np.zeros(n.shape)
-            for (seated, c, t), totals in list(zip(m.run(n, hashes), m.sweeps[1:], strict=True))[-len(kept) :]:
-                above.append(m.parent(c, t, totals))
-                own += np.where(n > 0, (n - m.discount * seated) / (m.strength + m.customers), 0) / len(kept)
-            above = np.stack(above, axis=1).astype("<f4")
-            count, where = n.sum(axis=1), batch.column("where")
-            each = np.diff(where.offsets.to_numpy())
-            flat = where.flatten()
-            block, place = flat.field("block").to_numpy(), flat.field("place").to_numpy()
-            word = np.repeat(np.arange(len(each)), each)
-            order = np.argsort(block, kind="stable")
-            blocks, cuts = np.unique(block[order], return_index=True)
-            out: list[tuple] = []
-            for b, mine in zip(blocks.tolist(), np.split(order, cuts[1:]), strict=True):
-                w = word[mine]
-                i, f = np.nonzero(n[w])
-                parts = (place[mine].astype("<i4"), count[w].astype("<i8"), above[w], place[mine][i].astype("<i4"), f.astype("<u1"), own[w[i], f].astype("<f4"))
-                out.append((b, *(np.ascontiguousarray(x).tobytes() for x in parts)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], PRICES)
-
-    priced = words.select("h", *counts, "where").mapInArrow(price, "block bigint, " + ", ".join(f"{c} binary" for c in PRICES[1:]))
-    base_of = lambda c: np.log10((c + 0.1) / (learned + 0.1 * (model.kinds + 1)))
+    said = places
+    for k, state in enumerate(states):
+        said = said.join(state.select("h", *[F.col(c).alias(f"{c}{k}") for c in ("tables", "c", "t")]), "h")
+    word_columns = ["place", "n", *[f"{c}{k}" for k in range(n_kept) for c in ("tables", "c", "t")]]
+    said = said.select("n", *word_columns[2:], F.explode("where").alias("at")).select("at.block", "at.place", "n", *word_columns[2:])
+    own = found.join(pairs.select("u", "w", "total"), ["u", "w"], "left")
+    own = own.select("block", "place", "all", F.coalesce(F.col("total") / n_kept, F.lit(1.0)).alias("t"))
+    prices = _packed(said, 0, word_columns).unionByName(_packed(own, 1, ["place", "all", "t"]))
 
     def settle(docs: pa.Table, prices: pa.Table) -> pa.Table:
-        m, raw, parts, at = shared.value, docs.column("payload")[0].as_py(), [], 0
-        while at < len(raw):
-            n = int.from_bytes(raw[at : at + 8], "little")
-            parts.append(raw[at + 8 : at + 8 + n])
-            at += 8 + n
-        n_words = int(np.frombuffer(parts[0], "<i8")[0])
-        ids, known, held = np.frombuffer(parts[1], "<i8"), np.frombuffer(parts[2], bool), np.frombuffer(parts[3], bool)
-        size, context_of = np.frombuffer(parts[4], "<u4").astype(np.int64), np.frombuffer(parts[5], "<i1")
-        n = int(size.sum())
-        tokens = np.frombuffer(pa.decompress(parts[6], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<i4").ravel()
-        first = np.concatenate([[0], np.cumsum(size)])
-        context = _token_contexts(tokens, first, context_of, width - 1)
-        count = np.zeros(n_words, dtype=np.int64)
-        above = np.tile(np.array([m.parent(0, 0, totals) for totals in kept], dtype=np.float32), (n_words, 1))
-        own = np.zeros(n_words * width, dtype=np.float32)
-        for p, c, a, pair_place, f, value in zip(*(prices.column(k).to_pylist() for k in PRICES[1:]), strict=True):
-            p = np.frombuffer(p, "<i4")
-            count[p], above[p] = np.frombuffer(c, "<i8"), np.frombuffer(a, "<f4").reshape(len(p), -1)
-            own[np.frombuffer(pair_place, "<i4").astype(np.int64) * width + np.frombuffer(f, "<u1")] = np.frombuffer(value, "<f4")
-        prob = own[tokens.astype(np.int64) * width + context].astype(np.float64)
-        for k, totals in enumerate(kept):
-            prob += m.back_off(totals)[context] * above[tokens, k] / len(kept)
-        doc = np.repeat(np.arange(len(size)), size)
-        add = lambda x: np.bincount(doc, weights=x, minlength=len(size))
+        m, block = shared.value, Block.unpacked(docs.column("payload")[0].as_py())
+        u, w, pair_n, pair = block.pairs()
+        pair_n, pair_t = pair_n.astype(np.float64), (pair_n > 0).astype(np.float64)
+        about = np.zeros((len(word_columns) - 1, len(block.hashes)))
+        for kind, data, size in zip(*(prices.column(c).to_pylist() for c in ("kind", "data", "size")), strict=True):
+            got = np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), "<f8").reshape(3 if kind else len(word_columns), -1)
+            at = got[0].astype(np.int64)
+            if kind:
+                pair_n[at], pair_t[at] = got[1], got[2]
+            else:
+                about[:, at] = got[1:]
+        count = about[0]
+        price = (pair_n - m.discount * pair_t) / (m.context_strength + count[u])
+        for k, totals in enumerate(m.sweeps[-n_kept:]):
+            tables, c, t = about[1 + 3 * k : 4 + 3 * k]
+            price += (m.context_strength + m.discount * tables[u]) / (m.context_strength + count[u]) * m.parent(c[w], t[w], totals) / n_kept
+        base = np.log10((count + 0.1) / (learned + 0.1 * (m.kinds + 1)))
+        doc = np.repeat(np.arange(len(block.size)), block.size)
+        add = lambda x: np.bincount(doc, weights=x, minlength=len(block.size))
         return pa.table({
-            "doc_id": pa.array(ids, mask=~known), "held_out": pa.array(held), "n_tokens": pa.array(size),
-            "n_known": pa.array(add(count[tokens] > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(size), learned)),
-            "base_score": pa.array(add(base_of(count)[tokens])), "score": pa.array(add(np.log10(prob))),
+            "doc_id": pa.array(block.ids, mask=~block.known), "held_out": pa.array(block.held), "n_tokens": pa.array(block.size),
+            "n_known": pa.array(add(count[block.tokens] > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(block.size), learned)),
+            "base_score": pa.array(add(base[block.tokens])), "score": pa.array(add(np.log10(price)[pair])),
         })
 
-    blocks = coded.filter(F.col("word").isNull()).select("block", "payload")
     kind = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return blocks.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(settle, kind)
-
-
-PRICES = ["block", "places", "counts", "above", "pair_places", "pair_contexts", "pair_values"]
+    return blocks.groupBy("block").cogroup(prices.groupBy("block")).applyInArrow(settle, kind)
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import crc_mod
-from quarrylight.llm.hpylm import Model, Totals, fit_and_score, perplexity, seat
+from quarrylight.llm.hpylm import CHOICES, Model, Totals, fit_and_score, left_out, left_out_repeated, perplexity, seat
 
 SCHEMA = "doc_id bigint, text string, score string, n int"
 
@@ -74,3 +74,52 @@ def test_seating_bounds():
     t = seat(count, np.full(5, 0.5), 0.5, h, 1)
     assert t[0] == 0 and t[1] == 1 and (t <= count).all() and (t[1:] >= 1).all()
     assert (seat(count, np.full(5, 1e12), 0.5, h, 1)[1:] > 0.99 * count[1:]).all()
+
+
+def test_every_pair_counts(spark):
+    """Scores equal those of a dense model in which every preceding word has a restaurant."""
+    from pandas.util import hash_array
+
+    df = spark.createDataFrame([(*r, "x", 1) for r in corpus()], SCHEMA).withColumn("held_out", crc_mod("doc_id", 10) == 0).repartition(3)
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
+    docs = [(d, held(d), ["\n", *tokens(t), "\n"]) for d, t in corpus()]
+    pairs = Counter(p for _, out, ws in docs if not out for p in zip(ws, ws[1:]))
+    names = sorted({w for p in pairs for w in p})
+    at = {w: i for i, w in enumerate(names)}
+    n = np.zeros((len(names), len(names)), dtype=np.int64)
+    for (u, w), k in pairs.items():
+        n[at[u], at[w]] = k
+    h = hash_array(np.array(names, dtype=object), categorize=False)
+    both = (h[:, None] * np.uint64(0x9E3779B97F4A7C15)) ^ h[None, :]
+    share = lambda one, two: min(0.95, max(0.05, one / max(one + 2 * two, 1)))
+    opened = (n > 0).sum(axis=0)
+    model = Model(n.sum(axis=1).astype(float), len(names), 0.5, share((opened == 1).sum(), (opened == 2).sum()), 1.0)
+    t, c, top = (n > 0).astype(np.int64), opened, np.ones(len(names), dtype=np.int64)
+    total, kept = Totals(t.sum(axis=1), c.sum(), top.sum()), []
+    u, w = np.nonzero(n > 1)
+    found = left_out((n == 1).sum(axis=1), model.customers, total.context_tables)
+    found += left_out_repeated(n[u, w], model.customers[u], total.context_tables[u], model.parent(c, top, total)[w])
+    model.discount, model.context_strength = CHOICES[np.argmax(found)]
+    for number in (1, 2, 3):
+        mass = (model.context_strength + model.discount * total.context_tables)[:, None] * model.parent(c, top, total)[None, :]
+        t = seat(n.ravel(), mass.ravel(), model.discount, both.ravel(), number * 100).reshape(n.shape)
+        c = t.sum(axis=0)
+        top = seat(c, np.full(len(c), (1 + model.parent_discount * total.tables) / (len(names) + 1)), model.parent_discount, h, number * 100 + 99)
+        total = Totals(t.sum(axis=1), c.sum(), top.sum())
+        if number > 1:
+            kept.append((t, c, top, total))
+    prob = sum((n - model.discount * t) / (model.context_strength + model.customers)[:, None] + model.back_off(x)[:, None] * model.parent(c, top, x)[None, :] for t, c, top, x in kept) / 2
+    above = sum(model.parent(c, top, x) for _, c, top, x in kept) / 2
+    unknown = sum(np.append(model.back_off(x), 1) * model.parent(0, 0, x) for *_, x in kept) / 2
+    price = lambda u, w: (prob[at[u], at[w]] if u in at else above[at[w]]) if w in at else unknown[at.get(u, -1)]
+    want = sorted((-1 if d is None else d, round(sum(math.log10(price(*p)) for p in zip(ws, ws[1:])), 6)) for d, _, ws in docs)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 6)) for r in fit_and_score(df).collect()) == want
+
+
+def test_gain_of_a_word_that_tells_the_next(spark):
+    """Pairs of rare words are learned: the second is all but sure after the first, though neither is common."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"a{k} b{k}" for k in r.integers(0, 400, 30)) for _ in range(600)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").withColumn("held_out", crc_mod("doc_id", 10) == 0)
+    gain = {r.held_out: r.base_perplexity / r.perplexity for r in perplexity(fit_and_score(df)).collect()}
+    assert gain[True] > 10
