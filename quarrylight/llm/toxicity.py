@@ -135,15 +135,15 @@ def train(texts: list[str], labels: list[int], bits: int = 18, epochs: int = 200
 
 
 def sample_and_train(documents: DataFrame, labels: DataFrame, sample_rows: int = 6000, max_chars: int = 20_000_000) -> ToxicityModel:
-    """Fits on at most about ``sample_rows`` labelled rows, half of them toxic if there are as many.
+    """Fits on at most about ``sample_rows`` labelled rows, as many of them toxic as among all labelled rows.
 
-    The rows are those with the smallest hashes of their id, a fraction chosen from the counts of both classes; once
-    ``max_chars`` characters have been gathered, further rows of the sample are not used. Rows with a null label or text
+    The rows are those with the smallest hashes of their id, the same fraction of both classes, so that the bias and a
+    threshold mean the same at every size; once ``max_chars`` characters have been gathered, further rows of the sample
+    are not used. Rows with a null label or text
     are left out; a document with labels in several rows counts once, toxic if any says so.
     """
     marks = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.coalesce(*[F.when(F.col("toxic") == t, F.lit(min(1.0, sample_rows / 2 / n))) for t, n in counts.items()], F.lit(0.0))
+    share = min(1.0, sample_rows / max(marks.count(), 1))
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     # about sample_rows ids: a bounded broadcast, so that the texts stay where they are
     rows = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

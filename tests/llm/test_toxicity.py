@@ -55,3 +55,16 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "a b c", "x", 1)], SCHEMA)
     model = sample_and_train(df, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert score(df, model).first().score < 0.5
+
+
+def test_sample_keeps_the_share_of_toxic_rows(spark, monkeypatch):
+    from quarrylight.llm import toxicity
+
+    df = spark.createDataFrame([(i, f"word{i % 7} here.", "x", 1) for i in range(4000)], SCHEMA)
+    marks = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(4000)], "doc_id bigint, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append((len(texts), sum(labels))))
+    for rows in (10_000, 1000):
+        toxicity.sample_and_train(df, marks, sample_rows=rows)
+    assert seen[0] == (4000, 200)
+    assert 850 <= seen[1][0] <= 1150 and 0.03 <= seen[1][1] / seen[1][0] <= 0.07
