@@ -38,7 +38,7 @@ _PART = re.compile(r"[^a-z]+")
 DROPPED_TAGS = frozenset("head nav footer aside form button select option dialog menu datalist label input object audio video canvas title".split())
 #: Dropped outside an article only: within one they hold its title.
 OUTER_TAGS = frozenset(["header", "hgroup"])
-#: Parts of class, id and role names that mark boilerplate.
+#: Class, id and role names that mark boilerplate, alone or with one another or with NEUTRAL_PARTS ("site-nav", not "no-sidebar").
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer comment comments commentlist respond reply replies disqus share sharing "
@@ -46,6 +46,14 @@ DROPPED_NAMES = frozenset(
     "complementary contentinfo alert alertdialog disclaimer widget outbrain taboola".split()
 )
 OUTER_NAMES = frozenset(["header", "masthead"])
+NEUTRAL_PARTS = frozenset(
+    "site page global primary secondary main top bottom left right inner outer list item items box block section area wrap wrapper container slot unit "
+    "bar button buttons link links post posts article articles form icons panel text".split()
+)
+#: What an id says within an article; other ids there are anchors of its sections.
+INNER_IDS = frozenset("ad ads adv advert adverts advertisement comment comments commentlist respond disqus newsletter subscribe outbrain taboola".split())
+#: Within an article, ids of these are anchors always.
+ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: Elements that end the line they stand in.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li "
@@ -57,33 +65,51 @@ MAIN_TAGS = frozenset(["article", "main"])
 _CLOSED_BY = {"p": BLOCK_TAGS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
 
 
-def _is_dropped(tag: str, attributes: str, in_main: bool) -> bool:
+def _names(value: str, names: frozenset[str]) -> bool:
+    """Whether one of the names in a class, id or role marks boilerplate as a whole."""
+    for name in value.split():
+        parts = [x for x in _PART.split(name) if x]
+        if not names.isdisjoint(parts) and all(x in names or x in NEUTRAL_PARTS for x in parts):
+            return True
+    return False
+
+
+def _is_dropped(tag: str, attributes: str, in_main: bool) -> str:
+    """Why an element is dropped: "tag", "hidden" or "name"; "" if it is not."""
     if tag in DROPPED_TAGS or (tag in OUTER_TAGS and not in_main):
-        return True
+        return "tag"
     if tag in ("body", "html", "article", "main") or not attributes:
-        return False
+        return ""
+    why = ""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return "hidden"
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return "hidden"
+        elif name == "id" and in_main:
+            if tag not in ANCHORS and _names(value, INNER_IDS):
+                why = "name"
         elif name in ("class", "id", "role"):
-            parts = _PART.split(value)
-            if not DROPPED_NAMES.isdisjoint(parts) or (not in_main and not OUTER_NAMES.isdisjoint(parts)):
-                return True
-    return False
+            if _names(value, DROPPED_NAMES) or (not in_main and _names(value, OUTER_NAMES)):
+                why = "name"
+    return why
+
 
+def page_lines(page: str, window: int = 3, spared: frozenset[int] = frozenset()) -> list[tuple[str, int, int]]:
+    """(text, characters outside links, number of the enclosing main element or 0); text is "" where boilerplate was.
 
-def page_lines(page: str, window: int = 3) -> list[tuple[str, int, int]]:
-    """(text, characters outside links, number of the enclosing main element or 0); text is "" where boilerplate was."""
+    If all main elements are within elements dropped by their names, or within a form, those around the first are kept;
+    ``spared`` has their places in the page."""
     lines: list[tuple[str, int, int]] = []
     pieces: list[str] = []
     plain = linked = 0
     stack: list[tuple[str, bool, int]] = []  # tag, whether it starts a dropped element, its main element
     dropping = in_link = mains = 0
     where = 0
+    around: list[tuple[int, str]] = []  # of open dropped elements: place in the page, why dropped
+    to_spare: frozenset[int] = frozenset()
 
     def end_line() -> None:
         nonlocal plain, linked
@@ -99,6 +125,7 @@ def page_lines(page: str, window: int = 3) -> list[tuple[str, int, int]]:
         while len(stack) > depth:
             tag, starts, outer = stack.pop()
             if starts:
+                around.pop()
                 dropping -= 1
                 if not dropping:
                     lines.extend([("", 0, 0)] * window)
@@ -142,10 +169,14 @@ def page_lines(page: str, window: int = 3) -> list[tuple[str, int, int]]:
                     if stack[depth][0] == "p":
                         close(depth)
                     break
-        starts = _is_dropped(tag, attributes, bool(where))
+        why = "" if m.start() in spared else _is_dropped(tag, attributes, bool(where))
+        starts = bool(why)
         stack.append((tag, starts, where))
         if starts:
+            around.append((m.start(), "name" if tag == "form" else why))
             dropping += 1
+        if tag in MAIN_TAGS and dropping and not to_spare and all(x[1] == "name" for x in around):
+            to_spare = frozenset(x[0] for x in around)
         if tag == "a":
             in_link += 1
         if tag in MAIN_TAGS and not dropping:
@@ -153,6 +184,8 @@ def page_lines(page: str, window: int = 3) -> list[tuple[str, int, int]]:
             where = where or mains
     text_piece(page[at:])
     end_line()
+    if to_spare and not mains:
+        return page_lines(page, window, spared | to_spare)
     return lines
 
 

@@ -35,3 +35,18 @@ def test_table(spark):
     assert out.columns == ["page_id", "url", "html", "text", "n_chars"]
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in out.collect()) == sorted([(1, TEXT, len(TEXT)), (2, "", 0), (3, "", 0), (1, "again", 5), (0, "n", 1)])
     assert extract(out.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("outer", ["class='with-sidebar'", "class='page no-sidebar'", "id=has-comments", "class=ad-free", "class=search", "role=alert"])
+def test_names_around_the_article(outer):
+    assert main_text(PAGE % f"<div {outer}><article>{BODY}</article></div>") == TEXT
+
+
+def test_anchors_within_the_article():
+    body = "<h2 id='related-work'>Related work</h2><p id='notice-1'>One.</p><section id='search'><p>Two.</p></section><div class='share-buttons'>Share</div><section id=comments>No</section>"
+    assert main_text(f"<article><p>Zero.</p>{body}</article>") == "Zero.\nRelated work\nOne.\nTwo."
+
+
+def test_boilerplate_around_other_articles_stays_out():
+    page = "<article><p>Story.</p></article><div class='comment-list'><article><p>Reader.</p></article></div><div hidden><article>x</article></div>"
+    assert main_text(page) == "Story." and main_text("<div hidden><article>x</article></div>") == ""
