@@ -15,9 +15,12 @@ DEFAULT_SHARED = "/tmp/checkpoints/quarrylight"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only if unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; where it is unset, on a local master only,
+    it is set here, and on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", DEFAULT_SHARED)
         found = DEFAULT_SHARED
     return found.rstrip("/")
@@ -57,6 +60,22 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """df as a table in the shared folder that is bucketed by a column: grouping by it needs no shuffle. Lives as long as the driver."""
+    spark = df.sparkSession
+    path, named = fresh_path(spark, name), f"quarrylight_{uuid.uuid4().hex}"
+
+    def clean() -> None:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {named}")
+        except Exception:  # the session may be gone by then
+            return
+
+    atexit.register(clean)
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(named)
+    return spark.table(named)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes tables made by written() that no later step reads."""
     for df in frames:
@@ -88,6 +107,22 @@ def crc_mod(doc_id: Column | str, m: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % F.lit(m)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_struct(df: DataFrame, value: Column, fields: list[str]) -> DataFrame:
+    """df with the fields of a struct as further columns; columns of df that have their names are replaced."""
+    kept = [c for c in df.columns if c.lower() not in {f.lower() for f in fields}]
+    name = unused(df, "_made")
+    made = df.withColumn(name, value)
+    return made.select(*[made[f"`{c}`"] for c in kept], *[made[f"`{name}`"][f].alias(f) for f in fields])
+
+
 def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Splits Arrow batches so that one holds at most max_bytes of text, or one row."""
     for batch in batches:
