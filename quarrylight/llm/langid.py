@@ -2,9 +2,10 @@
 
 For each language a suffix automaton of labelled text recognises every substring of that text. A document is parsed
 from left to right into the fewest phrases that occur there: each phrase is the longest match from where the last one
-ended, a character that the text lacks being a phrase of its own. c phrases against N characters of text cost about
-c * log2(N) bits; divided by the document's length this estimates the cross entropy, and the language with the least
-wins, ties going to the smaller name.
+ended. A character that the text lacks counts as two, one to say so and one to name it. c phrases cost about c * log2(N)
+bits, where N is the length of the longest language's text, the same for all, so that a language of which little is known
+gains nothing by its small sample; divided by the document's length this estimates the cross entropy, and the language
+with the least wins, ties going to the smaller name.
 
 Texts are compared as runs of lower-cased letters with one space between them. The automata are built from a bounded
 sample (``chars_per_language``, ``chars_per_row``) of labelled rows; every document is parsed as a whole.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .common import crc_mod
+from .common import crc_mod, with_struct
 
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 UNDETERMINED = "und"
@@ -67,7 +68,8 @@ def suffix_automaton(text: str) -> dict:
 
 
 def phrases(root: dict, text: str, limit: float = math.inf) -> int:
-    """How many phrases the greedy parse of text needs; once they exceed limit, the number so far."""
+    """How many phrases the greedy parse of text needs, an unknown character counting as two; once they exceed limit, the
+    number so far."""
     count, state = 0, root
     for ch in text:
         to = state.get(ch)
@@ -76,7 +78,7 @@ def phrases(root: dict, text: str, limit: float = math.inf) -> int:
                 count += 1
             to = root.get(ch)
             if to is None:
-                count += 1
+                count += 2
                 to = root
             if count > limit:
                 return count
@@ -95,15 +97,15 @@ class CrossParser:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(lang for lang, text in samples.items() if text)
         self.roots = [suffix_automaton(samples[lang]) for lang in self.languages]
-        self.bits = [math.log2(len(samples[lang]) + 1) for lang in self.languages]
+        self.bits = math.log2(max(map(len, samples.values()), default=0) + 1)
 
     def rates(self, plain: str) -> list[float]:
         """Estimated cross entropy against each language, in bits a character; losers' only up to MARGIN above the least."""
         n, start = len(plain), plain[:200]
-        order = sorted(range(len(self.roots)), key=lambda i: phrases(self.roots[i], start) * self.bits[i])
+        order = sorted(range(len(self.roots)), key=lambda i: phrases(self.roots[i], start))
         least, found = math.inf, [0.0] * len(order)
         for i in order:
-            found[i] = phrases(self.roots[i], plain, (least + self.MARGIN) * n / self.bits[i]) * self.bits[i] / n
+            found[i] = phrases(self.roots[i], plain, (least + self.MARGIN) * n / self.bits) * self.bits / n
             least = min(least, found[i])
         return [min(r, least + self.MARGIN) for r in found]
 
@@ -129,20 +131,26 @@ def _parser(samples: dict[str, str]) -> CrossParser:
     return _PARSERS[key]
 
 
-def learn(labelled: DataFrame, chars_per_language: int = 40_000, chars_per_row: int = 1_500) -> dict[str, str]:
+def learn(labelled: DataFrame, chars_per_language: int = 40_000, chars_per_row: int = 1_500, most_languages: int = 256) -> dict[str, str]:
     """Sample text by language from (doc_id, text, lang) rows with a language.
 
-    Rows are taken at random by a hash of doc_id, about twice as many as are needed at the mean length, and of each at
-    most ``chars_per_row`` letters, until a language has ``chars_per_language``. Rows with a null text or language, and
-    texts without letters, teach nothing; a language without text is not learned.
+    Rows are taken at random by a hash of doc_id, about twice as many as are needed at the mean length, and of each a
+    passage of at most ``chars_per_row`` letters at a place that the hash chooses, until a language has
+    ``chars_per_language``. Rows with a null text or language, and texts without letters, teach nothing; a language without
+    text is not learned. Of more than ``most_languages`` values of lang, those of the most rows are learned, the others
+    being taken for dirt; ties go to the smaller name.
     """
     rows = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: (r["n"], r["chars"] or 0) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(chars_per_row))).alias("chars")).collect()}
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * chars_per_language / max(chars, 1)))) for lang, (_, chars) in counts.items()], F.lit(0.0))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(chars_per_row))).alias("chars"))
+    sizes = {r["lang"]: r["chars"] or 0 for r in sizes.orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    shares = labelled.sparkSession.createDataFrame([(lang, min(1.0, 2.0 * chars_per_language / max(chars, 1))) for lang, chars in sizes.items()], "lang string, share double")
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    gathered: dict[str, list[str]] = {lang: [] for lang in counts}
-    room = dict.fromkeys(counts, chars_per_language)
-    chosen = rows.filter(rank < share * (1 << 40)).select("lang", rank.alias("rank"), "doc_id", F.substring("text", 1, 4 * chars_per_row).alias("text"))
+    gathered: dict[str, list[str]] = {lang: [] for lang in sizes}
+    room = dict.fromkeys(sizes, chars_per_language)
+    least = 4 * chars_per_row  # characters: letters are fewer
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.length("text") - least, F.lit(0)) + 1).cast("int") + 1
+    chosen = rows.join(F.broadcast(shares), "lang").filter(rank < F.col("share") * (1 << 40))  # most_languages rows at most
+    chosen = chosen.select("lang", rank.alias("rank"), "doc_id", F.substring("text", place, F.lit(least)).alias("text"))
     for r in sorted(chosen.collect(), key=lambda r: (r["rank"], r["doc_id"], r["text"])):
         piece = letters(r["text"])[: max(0, min(chars_per_row, room[r["lang"]]))]
         if piece:
@@ -154,7 +162,10 @@ def learn(labelled: DataFrame, chars_per_language: int = 40_000, chars_per_row:
 def identify(documents: DataFrame, samples: dict[str, str]) -> DataFrame:
     """documents plus lang_pred, score (0 to 1) and bits_per_char; columns of these names are replaced, others kept.
 
-    Rows are judged one by one: null and empty texts and texts without letters are "und" with score 0.
+    Rows are judged one by one, so repeated rows and an empty table need no rule: null and empty texts and texts without
+    letters are "und" with score 0, as is every text if no language was learned; of equally good languages the smaller name
+    wins. Long texts are parsed whole against the winner; a rival is parsed until it is ``CrossParser.MARGIN`` bits a
+    character behind, and counts as that far behind in the score, which it then lowers by less than 0.0004.
     """
     shared = documents.sparkSession.sparkContext.broadcast(samples)  # chars_per_language a language at most
 
@@ -165,7 +176,7 @@ def identify(documents: DataFrame, samples: dict[str, str]) -> DataFrame:
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     judge = F.pandas_udf(run, "struct<lang_pred:string,score:double,bits_per_char:double>")
-    return documents.drop("lang_pred", "score", "bits_per_char").withColumn("_judged", judge(F.col("text"))).select("*", "_judged.*").drop("_judged")
+    return with_struct(documents, judge(F.col("text")), ["lang_pred", "score", "bits_per_char"])
 
 
 def training_rows(documents: DataFrame) -> DataFrame:
