@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .common import crc_mod
+from .common import crc_mod, with_struct
 
 _NOT_WORD = re.compile(r"[\W_]+")
 #: A sentence ends at one of these followed by white space, or at a line break.
@@ -134,33 +134,28 @@ def train(texts: list[str], labels: list[int], bits: int = 18, epochs: int = 200
     return ToxicityModel(bits, w.astype(np.float32), float(b))
 
 
-def sample_and_train(documents: DataFrame, labels: DataFrame, sample_rows: int = 6000, max_chars: int = 20_000_000) -> ToxicityModel:
+def sample_and_train(documents: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> ToxicityModel:
     """Fits on at most about ``sample_rows`` labelled rows, as many of them toxic as among all labelled rows.
 
     The rows are those with the smallest hashes of their id, the same fraction of both classes, so that the bias and a
-    threshold mean the same at every size; once ``max_chars`` characters have been gathered, further rows of the sample
-    are not used. Rows with a null label or text
-    are left out; a document with labels in several rows counts once, toxic if any says so.
+    threshold mean the same at every size; whole texts are used, in the order of the hashes, whatever the files' layout.
+    Rows with a null label or text are left out; a document with labels in several rows counts once, toxic if any says so.
     """
     marks = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample_rows / max(marks.count(), 1))
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     # about sample_rows ids: a bounded broadcast, so that the texts stay where they are
     rows = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    texts, marked, room = [], [], max_chars
-    for r in rows.select("text", "toxic").toLocalIterator():
-        if len(r["text"]) <= room:
-            room -= len(r["text"])
-            texts.append(r["text"])
-            marked.append(int(r["toxic"] > 0))
-    return train(texts, marked)
+    found = sorted(rows.select(F.xxhash64("doc_id").alias("rank"), "text", "toxic").toLocalIterator(), key=lambda r: (r["rank"], r["text"]))  # about sample_rows
+    return train([r["text"] for r in found], [int(r["toxic"] > 0) for r in found])
 
 
 def score(documents: DataFrame, model: ToxicityModel, locate: bool = False, threshold: float = 0.5) -> DataFrame:
     """documents plus score (0 to 1) and, with ``locate``, sentences: array<struct<sentence, score>> of those at or above threshold.
 
     Null and empty texts, and texts without words, score 0 or the bias alone; other columns pass through unless named
-    score or sentences, which are replaced. Every row is scored by itself, so ties and repeated rows need no rule.
+    score or sentences, which are replaced. Every row is scored by itself, so ties, repeated rows and an empty table need no
+    rule; a very long text is scored whole, sentence by sentence.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 2**bits float32 weights: 1 MB at 18 bits
@@ -177,9 +172,7 @@ def score(documents: DataFrame, model: ToxicityModel, locate: bool = False, thre
             yield pd.DataFrame({"score": scores, "sentences": found})
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    scored = documents.drop("score", "sentences").withColumn("_scored", F.pandas_udf(run, kind)(F.col("text")))
-    scored = scored.withColumn("score", F.col("_scored.score"))
-    return (scored.withColumn("sentences", F.col("_scored.sentences")) if locate else scored).drop("_scored")
+    return with_struct(documents.drop("score", "sentences"), F.pandas_udf(run, kind)(F.col("text")), ["score", "sentences"] if locate else ["score"])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
