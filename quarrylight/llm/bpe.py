@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .common import chunks, put_bytes, written
+from .common import chunks, put_bytes, with_struct, written
 from .transducer import Lexicon, compile_lexicon
 
 #: Unicode White_Space, as the tokenizer's \s; Python's own \s has four control characters more.
@@ -67,6 +67,7 @@ class BytePairEncoder:
             self.bytes_of[i] = token.encode()
         self.decimal = [b"%d" % i for i in range(len(self.bytes_of))]
         self.pieces = regex.compile(_PIECE_PATTERN).findall
+        self.special_starts = {t[0] for t in self.special}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, piece: str) -> list[int]:
@@ -109,7 +110,8 @@ class Words(dict):
     def packed(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
         packed = []
-        parts = [text] if self.encoder.specials is None or "<" not in text else self.encoder.specials.split(text)
+        starts = self.encoder.special_starts
+        parts = self.encoder.specials.split(text) if any(c in text for c in starts) else [text]
         for i, part in enumerate(parts):  # texts and special tokens in turn
             packed.append(self.pack([self.encoder.special[part]]) if i % 2 else b"".join(map(self.__getitem__, _WORD.findall(part))))
         return np.frombuffer(b"".join(packed), dtype=self.dtype)
@@ -187,7 +189,9 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, share: float = 1
     """documents plus n_tokens, ids_sha256, decoded_sha256[, ids array<int>]; columns of these names are replaced, others kept.
 
     The lexicon is counted, compiled on the driver (at most 1 / share words) and written to the shared folder, from where
-    Spark hands every executor a copy to map. Null texts count as empty: no ids, the digests of nothing.
+    Spark hands every executor a copy to map. Null texts count as empty: no ids, the digests of nothing. Every row is coded by
+    itself and whole, so ties, repeated rows and very long texts need no rule; an empty table gives an empty result. Which
+    words are frequent changes no result, only what the lexicon answers.
     """
     import uuid
 
@@ -217,8 +221,7 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, share: float = 1
     import pandas as pd
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    out = documents.drop("n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)
-    return out.withColumn("_coded", F.pandas_udf(run, kind)(F.col("text").cast("string"))).select("*", "_coded.*").drop("_coded")
+    return with_struct(documents, F.pandas_udf(run, kind)(F.col("text").cast("string")), ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

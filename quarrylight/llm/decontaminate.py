@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .common import small_side, written
+from .common import small_side, unused, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything that is no word character: words are digits, letters a-z and all beyond ASCII.
@@ -140,11 +140,13 @@ def same_key(a: str, b: str) -> Column:
 
 
 def keep_clean(documents: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of documents, all columns, in which no window of the benchmark occurs."""
+    """The rows of documents, all columns, in which no window of the benchmark occurs; null and empty texts stay, and rows that
+    share a doc_id are judged by their own text."""
     bad = contamination(documents, items, window).filter(F.col("n_hit") > 0).select("doc_id", "text_hash").distinct()
     bad = small_side(written(bad, "decon-bad"))
-    rows = documents.withColumn("_h", F.xxhash64("text")).alias("b")
-    return rows.join(bad.alias("f"), F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b._h") == F.col("f.text_hash")), "left_anti").drop("_h")
+    key, text = unused(documents, "_id"), unused(documents, "_hash")
+    bad = bad.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text))
+    return documents.join(bad, documents["doc_id"].eqNullSafe(bad[key]) & (F.xxhash64(documents["text"]) == bad[text]), "left_anti")
 
 
 def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .common import shared_dir, written
+from .common import shared_dir, unused, written
 
 
 @dataclass(frozen=True)
@@ -191,27 +191,29 @@ def scan(documents: DataFrame, rules: list[Rule] = RULES, broadcast_rows: int =
     texts have no spans; a null doc_id is a value like others, and rows that share a doc_id are each searched for the
     candidate rules of any of them, so the result is the same as for the row alone.
 
+    The index holds the trigrams of the given rules and is made anew with every call: rules and texts both change.
     Candidates join their texts by broadcast if there are at most ``broadcast_rows`` of them, else by a shuffled join.
     """
     documents = documents.drop("secret_spans")
+    key, asked = unused(documents, "_id"), unused(documents, "_rules")
     queries = {i: trigram_query(r.pattern) for i, r in enumerate(rules)}
     trigrams = sorted({t for q in queries.values() if q for grams in q for t in grams})
     number = {t: i for i, t in enumerate(trigrams)}
     indexed = {i: [[number[t] for t in grams] for grams in q] for i, q in queries.items() if q}
     if indexed:
         shared_dir(documents.sparkSession)
-        found = written(candidates(build_index(documents, trigrams), indexed), "secret-candidates").select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
+        found = written(candidates(build_index(documents, trigrams), indexed), "secret-candidates").select(F.col("doc_id").alias(key), F.col("rules").alias(asked))
         if found.count() <= broadcast_rows:
             found = F.broadcast(found)
-        rows = documents.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+        rows = documents.join(found, documents["doc_id"].eqNullSafe(found[key]), "left").drop(key)
     else:
-        rows = documents.withColumn("_rules", F.lit(None).cast("array<int>"))
+        rows = documents.withColumn(asked, F.lit(None).cast("array<int>"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     parts = []
     for i, rule in enumerate(rules):
-        worth = F.array_contains("_rules", i) if i in indexed else F.col("text").rlike(_long_run(rule))
+        worth = F.array_contains(asked, i) if i in indexed else F.col("text").rlike(_long_run(rule))
         parts.append(F.when(worth, rule_spans(F.coalesce("text", F.lit("")), rule, i)).otherwise(none))
-    return rows.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("_rules")
+    return rows.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop(asked)
 
 
 def _long_run(rule: Rule) -> str:
@@ -223,7 +225,7 @@ def _long_run(rule: Rule) -> str:
 
 def redact(documents: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """documents with every secret in text replaced by [SECRET]; overlapping spans are replaced as one."""
-    found = scan(documents, rules)
+    found = scan(documents, rules)  # its secret_spans replaces a column of that name, which redact drops
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, span: Column) -> Column:
