@@ -9,17 +9,18 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Codes are at most this long, longer only if more symbols than this allows are in use.
 MAX_BITS = 16
 #: Symbols between two bit-offset checkpoints.
 STEP = 64
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """The code length of every symbol, 0 where its count is 0. At most 2**limit symbols may have a count."""
+    """The code length of every symbol, 0 where its count is 0: at most ``limit``, or one more than the used symbols need."""
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), dtype=np.uint8)
     if len(used) > 1 << limit:
-        raise ValueError(f"{len(used)} symbols do not fit into codes of {limit} bits")
+        limit = int(len(used) - 1).bit_length() + 1
     if len(used) <= 1:
         lengths[used] = 1
         return lengths
@@ -57,10 +58,13 @@ class Codec:
 
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths.astype(np.int64)
-        self.codes, order = canonical_codes(lengths)
-        width = 1 << (MAX_BITS - self.lengths[order])
-        self.symbol = np.zeros(1 << MAX_BITS, dtype=np.uint32)
-        self.length = np.ones(1 << MAX_BITS, dtype=np.uint8)
+        self.limit = max(MAX_BITS, int(lengths.max(initial=0)))
+        #: Bytes that hold a code wherever in a byte it begins.
+        self.span = 3 if self.limit <= 17 else 4
+        self.codes, order = canonical_codes(lengths, self.limit)
+        width = 1 << (self.limit - self.lengths[order])
+        self.symbol = np.zeros(1 << self.limit, dtype=np.uint32)
+        self.length = np.ones(1 << self.limit, dtype=np.uint8)
         self.symbol[: width.sum()] = np.repeat(order, width)
         self.length[: width.sum()] = np.repeat(lengths[order], width)
 
@@ -79,11 +83,11 @@ class Codec:
         run = np.repeat(np.arange(len(sizes)), sizes)
         inside = starts - run_start[run]
         where = at[:-1][run] * 8 + inside
-        value = self.codes[ids] << (24 - n - (where & 7))
-        byte, total = where >> 3, int(at[-1]) + 3
-        out = np.bincount(byte, weights=value >> 16, minlength=total)
-        out += np.bincount(byte + 1, weights=(value >> 8) & 255, minlength=total)
-        out += np.bincount(byte + 2, weights=value & 255, minlength=total)
+        value = self.codes[ids] << (8 * self.span - n - (where & 7))
+        byte, total = where >> 3, int(at[-1]) + self.span
+        out = np.bincount(byte, weights=value >> (8 * self.span - 8), minlength=total)
+        for k in range(1, self.span):
+            out += np.bincount(byte + k, weights=(value >> (8 * (self.span - 1 - k))) & 255, minlength=total)
         marks = inside[(np.arange(len(ids)) - first[:-1][run]) % STEP == 0]
         return out[: int(at[-1])].astype(np.uint8).tobytes(), at, marks.astype(np.uint32)
 
@@ -95,8 +99,11 @@ class Codec:
         left = np.minimum(STEP, sizes[run] - number * STEP)
         first = np.concatenate([[0], np.cumsum(sizes)])[:-1][run] + number * STEP
         position = at[run] * 8 + marks.astype(np.int64)
-        raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8).astype(np.uint32)
-        wide = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
+        raw = np.frombuffer(data + bytes(self.span), dtype=np.uint8).astype(np.uint32)
+        wide = np.zeros(len(raw) - self.span + 1, dtype=np.uint32)
+        for k in range(self.span):
+            wide = (wide << 8) | raw[k : k + len(wide)]
+        spare, mask = 8 * self.span - self.limit, (1 << self.limit) - 1
         out = np.zeros(int(sizes.sum()), dtype=np.uint32)
         order = np.argsort(-left, kind="stable")  # those that end first come last
         position, first = position[order], first[order]
@@ -106,7 +113,7 @@ class Codec:
             if not m:
                 break
             p = position[:m]
-            window = (wide[p >> 3] >> (8 - (p & 7)).astype(np.uint32)) & 0xFFFF
+            window = (wide[p >> 3] >> (spare - (p & 7)).astype(np.uint32)) & mask
             out[first[:m] + i] = self.symbol[window]
             p += self.length[window]
         return out

@@ -104,7 +104,8 @@ def word_cache(tokenizer_path: str) -> WordCache:
 
 
 def token_ids(documents: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
-    """(doc_id, ids binary) of every row: the ids of its whole text, null counting as empty, then end_id."""
+    """(doc_id, ids binary) of every row: the ids of its whole text, null counting as empty, then end_id. Every row is coded by
+    itself and whole, so repeated rows, very long texts and an empty table need no rule; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer_path)
