@@ -88,6 +88,18 @@ def small_side(df: DataFrame, rows: int = 400_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int = 400_000, salts: int = 16) -> DataFrame:
+    """left joined with right, a written table with one narrow row for each key, where one key may hold much of left.
+
+    Up to ``rows`` rows, right is broadcast; beyond, rows of left are dealt over ``salts`` parts of their key, and right is
+    repeated for each part."""
+    if right.count() <= rows:
+        return left.join(F.broadcast(right), key, how)
+    salt = unused(left, "_salt")
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
+    return dealt.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, salt], how).drop(salt)
+
+
 def put_bytes(spark: SparkSession, data: bytes, name: str) -> str:
     """Writes data as one file of the shared folder through Hadoop's file system; returns its path."""
     path = f"{fresh_path(spark, name)}/{name}"

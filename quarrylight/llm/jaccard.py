@@ -9,9 +9,11 @@ Jaccard similarity of at least t that are read in one global order (by hash) dif
 Single tokens of the extended prefix are indexed first. Tokens in at most ``rare`` prefixes are the rare class and
 lead to pairs directly; a pair that shares fewer than K tokens, frequent ones counted in its favour, is discarded. A
 document with fewer than K frequent tokens in its prefix has only such partners. The others are indexed again by
-combinations of three tokens. What remains, pairs and combinations, gives small clusters of possible partners; within a
-cluster every pair is verified on the whole sets, in tiles of bounded size, so no group meets in one task. Only a
-spanning forest of the verified links leaves a tile.
+combinations of three tokens. What remains, pairs and combinations, gives clusters of possible partners; within a cluster
+pairs are verified on the whole sets, in tiles of bounded rows and tokens, so no group meets in one task. Only a spanning
+forest of the verified links leaves a tile. A cluster of many tiles is cut into blocks: first each block by itself, then a
+few representatives of what hangs together within each block, then only those pairs of blocks that are not yet one
+component. Copies of one text thus cost about one comparison with their block each, not one with every other block.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .common import chunks, dropped, small_side, written
+from .common import chunks, dropped, small_side, spread_join, written
 from .components import components
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -113,7 +115,7 @@ def _signature(s: np.ndarray) -> int:
 
 
 def sketch(documents: DataFrame, words: int, rule: Rule) -> DataFrame:
-    """(doc_id, node, n, prefix binary) of every row; node is null for a row without words."""
+    """(doc_id, text_hash, node, n, prefix binary) of every row; node is null for a row without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -122,9 +124,15 @@ def sketch(documents: DataFrame, words: int, rule: Rule) -> DataFrame:
                 nodes.append(_signature(s) if len(s) else None)
                 sizes.append(len(s))
                 prefixes.append(s[: rule.prefix(len(s))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], ["doc_id", "node", "n", "prefix"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "prefix"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, node bigint, n int, prefix binary")
+    return _keyed(documents).mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, n int, prefix binary")
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, text_hash): the last two name a row's text even where ids repeat or are null."""
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
 
 def _tokens(nodes: DataFrame) -> DataFrame:
@@ -141,10 +149,10 @@ def _tokens(nodes: DataFrame) -> DataFrame:
 
 
 def _texts_of(documents: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
-    """documents' rows that ``wanted`` (doc_id, ..) names, with its columns; broadcast if it is small, else shuffled."""
-    if wanted.count() <= broadcast_rows:
-        wanted = F.broadcast(wanted)
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
+    """The texts of the rows that ``wanted`` (doc_id, text_hash, ..) names, with its other columns; broadcast if it is small."""
+    wanted = wanted.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
+    wanted = small_side(wanted, broadcast_rows)
+    return _keyed(documents).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))).drop("_d", "_t")
 
 
 def _combined_keys(texts: DataFrame, words: int, rule: Rule) -> DataFrame:
@@ -197,74 +205,111 @@ def _forest(nodes: list[int], sets: list[np.ndarray], left: int, rule: Rule) ->
     return out
 
 
-_TILE = pa.schema([("cluster", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("blocks", pa.int32()), ("node", pa.int64()), ("hashes", pa.binary())])
-
-
-def _block(node: int, blocks: int) -> int:
-    return (node & 0x7FFFFFFFFFFFFFFF) % blocks
+_TILE = pa.schema([("cluster", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("mine", pa.int32()), ("node", pa.int64()), ("hashes", pa.binary())])
 
 
-def _verified(texts: DataFrame, words: int, rule: Rule, tile_rows: int) -> DataFrame:
-    """(u, v): links among the (node, cluster, size, text) rows of each cluster, enough of them to connect what is linked.
+def _tiled(texts: DataFrame, words: int, rule: Rule) -> DataFrame:
+    """(u, v): links among (node, cluster, mine, others array<int>, text) rows, enough of them to connect what is linked.
 
-    A cluster of more than ``tile_rows`` nodes is cut into blocks; every two blocks meet in a tile of their own."""
+    Rows of a cluster meet in a tile for each two blocks ``mine`` and one of ``others``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             rows: list[tuple] = []
-            columns = (batch.column(k).to_pylist() for k in ("cluster", "size", "node"))
-            for cluster, size, node, s in zip(*columns, shingle_sets(batch.column("text"), words), strict=True):
+            columns = (batch.column(k).to_pylist() for k in ("cluster", "mine", "others", "node"))
+            held = 0
+            for cluster, mine, others, node, s in zip(*columns, shingle_sets(batch.column("text"), words), strict=True):
                 if len(s) and _signature(s) == node:
-                    blocks, raw = -(-size // tile_rows), s.tobytes()
-                    mine = _block(node, blocks)
-                    for other in range(blocks):
-                        rows.append((cluster, min(mine, other), max(mine, other), blocks, node, raw))
-                if len(rows) >= 512:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TILE.types, strict=True)], schema=_TILE)
-                    rows = []
+                    raw = s.tobytes()
+                    for other in others:
+                        rows.append((cluster, min(mine, other), max(mine, other), mine, node, raw))
+                        held += len(raw)
+                        if held > 8 << 20:
+                            yield _tile_rows(rows)
+                            rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TILE.types, strict=True)], schema=_TILE)
+                yield _tile_rows(rows)
 
-    def links(tile: tuple, held: dict[int, np.ndarray]) -> list[tuple[int, int]]:
-        _, i, j, blocks = tile
+    def links(tile: tuple | None, held: dict[int, tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
         if len(held) < 2:
             return []
-        names = sorted(held, key=lambda k: (_block(k, blocks) != i, k))
-        left = len(names) if i == j else sum(_block(k, blocks) == i for k in names)
-        return _forest(names, [held[k] for k in names], left, rule)
+        names = sorted(held, key=lambda k: (held[k][0] != tile[1], k))
+        return _forest(names, [held[k][1] for k in names], sum(held[k][0] == tile[1] for k in names), rule)
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held = None, {}
         for batch in batches:
             out = []
-            for *this, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *this, mine, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if tuple(this) != tile:
-                    out += links(tile, held) if tile else []
+                    out += links(tile, held)
                     tile, held = tuple(this), {}
-                held[node] = np.frombuffer(raw, dtype="<u8")
+                held[node] = mine, np.frombuffer(raw, dtype="<u8")
             yield _edges(out)
-        yield _edges(links(tile, held) if tile else [])
+        yield _edges(links(tile, held))
 
-    dealt = texts.select("node", "cluster", "size", "text").mapInArrow(sets, "cluster bigint, i int, j int, blocks int, node bigint, hashes binary")
+    dealt = texts.select("node", "cluster", "mine", "others", "text").mapInArrow(sets, "cluster bigint, i int, j int, mine int, node bigint, hashes binary")
     dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
     return dealt.mapInArrow(tiles, "u bigint, v bigint")
 
 
+def _tile_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TILE.types, strict=True)], schema=_TILE)
+
+
+def _blocked(members: DataFrame, tile_rows: int, tile_tokens: int, spread: int) -> tuple[DataFrame, DataFrame]:
+    """(members plus mine: their block, big: (cluster, blocks) of the clusters of several blocks).
+
+    members: (cluster, node, n, ..), at least; a block has about tile_rows nodes and tile_tokens tokens at most."""
+    blocks = F.ceil(F.greatest(F.count("*") / tile_rows, F.sum("n") / tile_tokens)).cast("int")
+    big = written(members.groupBy("cluster").agg(blocks.alias("blocks")).filter(F.col("blocks") > 1), "jaccard-big")
+    rows = spread_join(members, big, "cluster", "left", spread)
+    return rows.withColumn("mine", F.pmod(F.col("node"), F.coalesce("blocks", F.lit(1))).cast("int")), big
+
+
+def _verified(documents: DataFrame, members: DataFrame, words: int, rule: Rule, tile_rows: int, tile_tokens: int, broadcast_rows: int) -> DataFrame:
+    """(u, v): verified links within the clusters of members (cluster, node, n, doc_id, text_hash), enough to connect them."""
+    columns = ["doc_id", "text_hash", "node", "cluster", "mine", "others"]
+    meet = lambda rows: written(_tiled(_texts_of(documents, written(rows.select(columns), "jaccard-wanted"), broadcast_rows), words, rule), "jaccard-links")
+    rows, big = _blocked(members, tile_rows, tile_tokens, broadcast_rows)
+    rows = written(rows, "jaccard-blocked")
+    links = meet(rows.withColumn("others", F.array("mine")))
+    if big.isEmpty():
+        return links
+
+    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+        found = components(links).withColumnRenamed("node", "_node")
+        return rows.join(found, rows["node"] == found["_node"], "left").withColumn("label", F.coalesce("label", "node")).drop("_node")
+
+    many = written(rows.filter(F.col("blocks").isNotNull()), "jaccard-many")
+    near = Window.partitionBy("cluster", "mine", "label").orderBy(F.xxhash64("node"), "node")
+    few = labelled(many, links).withColumn("at", F.row_number().over(near)).filter(F.col("at") <= 8).select("cluster", "node", "n", "doc_id", "text_hash")
+    few, _ = _blocked(written(few, "jaccard-few"), tile_rows, tile_tokens, broadcast_rows)
+    links = links.unionByName(meet(few.withColumn("others", F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))))
+
+    # A pair of blocks that is one component by now has nothing to add.
+    state = labelled(many, links).groupBy("cluster", "mine").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    state = written(state, "jaccard-state")
+    other = state.select("cluster", F.col("mine").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob"))
+    open_ = state.join(other, "cluster").filter((F.col("mine") != F.col("other")) & ((F.col("a") != F.col("ob")) | (F.col("b") != F.col("oa"))))
+    open_ = written(open_.groupBy("cluster", "mine").agg(F.collect_list("other").alias("others")), "jaccard-open")
+    if open_.isEmpty():
+        return links
+    return links.unionByName(meet(many.join(small_side(open_), ["cluster", "mine"])))
+
+
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
 
 
-def jaccard_components(documents: DataFrame, words: int = 4, num: int = 85, den: int = 100, rare: int = 24, tile_rows: int = 1024, broadcast_rows: int = 400_000) -> DataFrame:
-    """(doc_id, n_shingles bigint, component_id) for every row of documents (doc_id, text; other columns are ignored).
-
-    Two rows link when den * |intersection| >= num * |union| of their shingle sets; component_id is the least doc_id that
-    links reach, a row without words being alone. Rows with equal sets are one node, whatever their number. A null doc_id
-    names no component: such rows take part, but get the least non-null id they reach, null if there is none. Rows that
-    share a doc_id are rows of their own. An empty table gives an empty result.
-    """
+def _grouped(documents: DataFrame, words: int, num: int, den: int, rare: int, tile_rows: int, tile_tokens: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): every row's (doc_id, text_hash, node, n), and every node's (node, doc_id, text_hash) of the first row of
+    its group: that of the least id, null ids last."""
     rule = Rule(num, den)
     rows = written(sketch(documents, words, rule), "jaccard-rows")
-    nodes = written(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "jaccard-nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(first.alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = written(nodes.select("node", "first", "first.doc_id", "first.text_hash", "n", "prefix"), "jaccard-nodes")
 
     # Single tokens. Those of one prefix lead nowhere.
     tokens = _tokens(nodes)
@@ -285,36 +330,61 @@ def jaccard_components(documents: DataFrame, words: int = 4, num: int = 85, den:
 
     # Combinations of three tokens, for documents whose prefixes hold many frequent tokens.
     least = F.floor(F.ceil(F.col("n") * num / den) / 20) + 1
-    dense = frequent.filter(F.col("f") >= least).join(nodes.select("node", "doc_id"), "node").filter(F.col("doc_id").isNotNull()).select("node", "doc_id")
+    dense = frequent.filter(F.col("f") >= least).select("node").join(nodes.select("node", "doc_id", "text_hash"), "node")
     dense = written(dense, "jaccard-dense")
     keys = written(_combined_keys(_texts_of(documents, dense, broadcast_rows), words, rule).distinct(), "jaccard-keys")
     hubs = keys.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("df")).filter(F.col("df") > 1)
     stars = keys.join(hubs, "key").select(F.col("node").alias("u"), "v").filter(F.col("u") != F.col("v")).distinct()
 
-    clusters = written(components(pairs.unionByName(stars)), "jaccard-clusters")
-    sizes = clusters.groupBy("label").agg(F.count("*").cast("int").alias("size"))
-    wanted = clusters.join(sizes, "label").join(nodes.select("node", "doc_id"), "node").select("doc_id", "node", F.col("label").alias("cluster"), "size")
-    wanted = written(wanted, "jaccard-wanted")
-    links = written(_verified(_texts_of(documents, wanted, broadcast_rows), words, rule, tile_rows), "jaccard-links")
-
-    found = components(links)
-    named = found.join(nodes.select("node", "doc_id"), "node")
-    least_id = named.groupBy("label").agg(F.min("doc_id").alias("least"))
-    joined = named.join(least_id, "label").select("node", "least")
-    answer = nodes.select("node", F.col("doc_id").alias("own")).join(joined, "node", "left").select("node", F.least("own", "least").alias("component_id"))
-    out = rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "node").join(answer, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    dropped(index, frequent, dense, keys, clusters, wanted)
-    return out
+    clusters = components(pairs.unionByName(stars)).withColumnRenamed("label", "cluster")
+    members = written(clusters.join(nodes.select("node", "n", "doc_id", "text_hash"), "node"), "jaccard-members")
+    links = _verified(documents, members, words, rule, tile_rows, tile_tokens, broadcast_rows)
 
+    found = written(components(links).join(nodes.select("node", "first"), "node"), "jaccard-found")
+    firsts = written(found.groupBy("label").agg(F.min("first").alias("group")), "jaccard-firsts")
+    joined = spread_join(found.select("node", "label"), firsts, "label", "inner", broadcast_rows).select("node", "group")
+    group = F.coalesce("group", "first")
+    groups = nodes.select("node", "first").join(joined, "node", "left").select("node", group["doc_id"].alias("doc_id"), group["text_hash"].alias("text_hash"))
+    dropped(index, frequent, dense, keys)
+    return rows.select("doc_id", "text_hash", "node", "n"), groups
 
-def keep_one(documents: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of documents, all columns, that stand for their group of near duplicates: those whose id is the least.
 
-    Rows without words or with a null id stay, as do rows that share the least id."""
-    found = jaccard_components(documents, words, num, den)
-    gone = written(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "jaccard-gone")
-    return documents.join(small_side(gone), "doc_id", "left_anti")
+def jaccard_components(documents: DataFrame, words: int = 4, num: int = 85, den: int = 100, rare: int = 24, tile_rows: int = 1024, tile_tokens: int = 1 << 20, broadcast_rows: int = 400_000) -> DataFrame:
+    """(doc_id, n_shingles bigint, component_id) for every row of documents (doc_id, text; other columns are ignored).
+
+    Two rows link when den * |intersection| >= num * |union| of their shingle sets; component_id is the least doc_id that
+    links reach, a row without words being alone. Rows with equal sets are one node, whatever their number. A null doc_id
+    names no component: such rows take part, but get the least non-null id they reach, null if there is none. Rows that
+    share a doc_id are rows of their own. Whole texts are compared, however long; an empty table gives an empty result.
+    Tables of up to ``broadcast_rows`` narrow rows are broadcast; larger ones are joined by key.
+    """
+    rows, groups = _grouped(documents, words, num, den, rare, tile_rows, tile_tokens, broadcast_rows)
+    out = rows.join(groups.select("node", F.col("doc_id").alias("component_id")), "node", "left")
+    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(documents: DataFrame, words: int = 5, num: int = 4, den: int = 5, rare: int = 24, tile_rows: int = 1024, tile_tokens: int = 1 << 20, broadcast_rows: int = 400_000) -> DataFrame:
+    """The rows of documents, all columns, one of each group of near duplicates: that of the least id, null ids last.
+
+    Rows are told apart by id and text, so ids that repeat do no harm; of rows with the same id and text one stays, as
+    they are copies of each other. Rows without words all stay. An empty table stays empty."""
+    rows, groups = _grouped(documents, words, num, den, rare, tile_rows, tile_tokens, broadcast_rows)
+    key = ["doc_id", "text_hash"]
+    found = rows.join(groups.select("node", F.col("doc_id").alias("d"), F.col("text_hash").alias("t")), "node")
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("d")) | (F.col("text_hash") != F.col("t"))).select(*key).distinct()
+    gone = written(gone.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"}), "jaccard-gone")
+    here = documents["doc_id"].cast("bigint"), F.xxhash64(documents["text"].cast("string"))
+    at = lambda df: here[0].eqNullSafe(df["_d"]) & (here[1] == df["_t"])
+    gone = small_side(gone, broadcast_rows)
+    kept = documents.join(gone, at(gone), "left_anti")
+    again = rows.filter(F.col("node").isNotNull()).groupBy(*key).agg(F.count("*").alias("times")).filter(F.col("times") > 1)
+    again = written(again.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")), "jaccard-again")
+    if again.isEmpty():
+        return kept
+    again = small_side(again, broadcast_rows)
+    twice = kept.join(again, at(again), "left_semi")
+    once = kept.join(again, at(again), "left_anti")
+    return once.unionByName(twice.dropDuplicates(["doc_id", "text"]))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,43 @@ def test_empty_and_filter(spark):
     assert kept.columns == df.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, 2, 9]
 
 
+def test_repeated_ids(spark):
+    """Rows are dropped by id and text: a unique text stays whatever other rows of its id do, and one of exact repeats stays."""
+    x, y = "a b c d e f g h i j", "q r s t u v w x y z"
+    df = spark.createDataFrame([(2, x, "", 1), (5, x, "", 2), (5, y, "", 3), (2, x, "", 4), (None, x, "", 5), (2, x + " ", "", 6), (7, None, "", 7), (7, None, "", 8)], SCHEMA)
+    got = sorted((r.doc_id, r.text or "") for r in keep_one(df).collect())
+    assert got in ([(2, t), (5, y), (7, ""), (7, "")] for t in (x, x + " "))
+    assert keep_one(df.filter("doc_id is null")).count() == 1
+
+
+def test_one_large_group_of_near_copies(spark):
+    """A group of many blocks is one component, and a second group that shares its candidates stays apart."""
+    r = random.Random(9)
+    base, rest = [f"a{i}" for i in range(120)], [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(base) if i % 3 else base[:60] + rest
+        w[r.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame([(*x, "x", 1) for x in rows], SCHEMA)
+    out = jaccard_components(df, 4, 85, 100, rare=4, tile_tokens=2000)
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in out.collect())
+    assert got == brute(rows, 4, 85, 100) and len({c for *_, c in got}) == 2
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    r = random.Random(2)
+    long = [f"w{r.randrange(50_000)}" for _ in range(120_000)]
+    near = list(long)
+    for i in range(0, 120_000, 4000):
+        near[i] = "changed"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:60_000]))]
+    df = spark.createDataFrame([(*x, 4, 5, 6) for x in rows], "doc_id bigint, text string, _d int, text_hash int, node int")
+    assert {(x.doc_id, x.component_id) for x in jaccard_components(df).collect()} == {(1, 1), (2, 1), (3, 3)}
+    kept = keep_one(df)
+    assert kept.columns == df.columns and sorted((x.doc_id, x["_d"], x.text_hash, x.node) for x in kept.collect()) == [(1, 4, 5, 6), (3, 4, 5, 6)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 150)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
