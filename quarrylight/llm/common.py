@@ -60,8 +60,9 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
-    """df as a table in the shared folder that is bucketed by a column: grouping by it needs no shuffle. Lives as long as the driver."""
+def bucketed(df: DataFrame, name: str, columns: list[str], buckets: int) -> DataFrame:
+    """df as a table in the shared folder that is bucketed by columns: grouping by them needs no shuffle. Lives as long as the
+    driver."""
     spark = df.sparkSession
     path, named = fresh_path(spark, name), f"quarrylight_{uuid.uuid4().hex}"
 
@@ -72,7 +73,7 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
             return
 
     atexit.register(clean)
-    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(named)
+    df.write.bucketBy(buckets, columns).option("path", path).option("compression", "zstd").saveAsTable(named)
     return spark.table(named)
 
 

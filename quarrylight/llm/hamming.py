@@ -1,27 +1,28 @@
 """Exact top-k search in Hamming space by incremental multi-index hashing.
 
-A binary code of ``bits`` bits is cut into ``segments`` substrings. If two codes differ in at most
-``segments * r + j`` bits (0 <= j < segments), then one of the first j + 1 substring pairs differs in at most r bits or
-one of the others in at most r - 1. So the search radii of the segments grow one after another; after step (r, j) every
-code within ``segments * r + j`` has been seen and its distance verified, and a query ends as soon as its k-th verified
-distance is covered in that sense. At r = bits / segments everything has been seen, so results are always exact.
-
-Rows are dealt by a hash of their id into index shards of bounded size, queries into blocks of bounded size; each
-(shard, block) pair is one row of work, found by an equi-join on the shard, and gives at most k rows per query. A code
-that repeats in a third of the rows is spread over all shards, and nothing grows with its frequency.
+A binary code is cut into m segments of about log2(n) bits, n being the number of distinct codes, so that a segment's value
+is shared by a few codes. The index holds a posting (segment, value, code) for every segment of every code. If two codes
+differ in fewer than m * (r + 1) bits, one of their segments differs in at most r bits. So the search radius of the
+segments grows step by step: step r probes, for every query that is still open, the values that differ from its own in
+exactly r bits, as one equi-join with the postings, and computes the whole distances of the codes it meets. A query closes
+once its k-th distance is below m * (r + 1): nothing nearer can be left. A code is met in one segment and step alone, the
+first in order, so candidates are not repeated. When r has reached the segments' width everything has been met, so results
+are always exact.
+
+Codes that repeat are one code with a count and the k least ids; the same holds for queries. The postings are bucketed, so
+that only the probes are shuffled; a value that very many codes share is split into parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import table
+from .common import bucketed, dropped, small_side, spread_join, written
 
 
 def sign_code(vector: Column | str, bits: int = 64) -> Column:
@@ -39,100 +40,86 @@ def sign_code(vector: Column | str, bits: int = 64) -> Column:
     return F.when(v.isNotNull(), code)
 
 
-def search_shard(codes: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, bits: int, segments: int) -> tuple:
-    """(query index, id, distance) arrays: the k nearest codes of every query, ties by id; codes and queries are uint64."""
-    width = bits // segments
-    low = np.uint64((1 << width) - 1)
-    sub = [(codes >> np.uint64(s * width)) & low for s in range(segments)]
-    order = [np.argsort(x, kind="stable") for x in sub]
-    starts = [np.concatenate([[0], np.cumsum(np.bincount(x.astype(np.int64), minlength=1 << width))]) for x in sub]
-    need = min(k, len(codes))
-    out = []
-    masks = [np.array([sum(1 << b for b in c) for c in combinations(range(width), r)], dtype=np.uint64) for r in range(width + 1)]
-    for at in range(0, len(queries), 32):
-        mine = queries[at : at + 32]
-        active = np.arange(len(mine))
-        got_q, got_c, got_d = [], [], []
-        histogram = np.zeros((len(mine), bits + 1), dtype=np.int64)
-        for r in range(width + 1):
-            for s in range(segments):
-                probe = (((mine[active] >> np.uint64(s * width)) & low)[:, None] ^ masks[r][None, :]).astype(np.int64)
-                first, count = starts[s][probe], starts[s][probe + 1] - starts[s][probe]
-                per_query, flat = count.sum(axis=1), count.ravel()
-                total = int(flat.sum())
-                if total:
-                    offset = np.repeat(first.ravel() - np.concatenate([[0], np.cumsum(flat)[:-1]]), flat)
-                    rows = order[s][offset + np.arange(total)]
-                    q = np.repeat(active, per_query)
-                    differ = mine[q] ^ codes[rows]
-                    new = np.ones(total, dtype=bool)
-                    for o in range(segments):
-                        if o != s:
-                            apart = np.bitwise_count((differ >> np.uint64(o * width)) & low)
-                            new &= apart > r if o < s else apart >= r
-                    rows, q, d = rows[new], q[new], np.bitwise_count(differ[new]).astype(np.int64)
-                    np.add.at(histogram, (q, d), 1)
-                    got_q.append(q)
-                    got_c.append(rows)
-                    got_d.append(d)
-                sure = histogram[:, : segments * r + s + 1].sum(axis=1)
-                active = active[sure[active] < need]
-                if not len(active):
-                    break
-            if not len(active):
-                break
-        if got_q:
-            q, c, d = map(np.concatenate, (got_q, got_c, got_d))
-            best = np.lexsort((ids[c], d, q))
-            q, c, d = q[best], c[best], d[best]
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
-            keep = rank < k
-            out.append((q[keep] + at, ids[c[keep]], d[keep]))
-    return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.int64),) * 3
-
-
-def _packed(rows: DataFrame, key: str, size: int, total: int) -> DataFrame:
-    """One row per group of about ``size`` rows: key, ids and codes as little-endian int64."""
-    groups = max(1, -(-total // size))
-
-    def pack(batch: pa.Table) -> pa.Table:
-        b = batch.select(["id", "code"]).combine_chunks()
-        ids, codes = (np.asarray(b.column(c), dtype="<i8").tobytes() for c in ("id", "code"))
-        return pa.table({key: pa.array([batch.column(key)[0].as_py()], pa.int32()), "ids": pa.array([ids], pa.binary()), "codes": pa.array([codes], pa.binary())})
-
-    dealt = rows.withColumn(key, F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-    return dealt.select(key, "id", "code").groupBy(key).applyInArrow(pack, f"{key} int, ids binary, codes binary")
-
-
-def hamming_topk(base: DataFrame, queries: DataFrame, k: int, bits: int = 64, segments: int = 4, shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+def segment_widths(codes: int, bits: int) -> list[int]:
+    """Widths of the segments, as equal as can be, of at most log2(codes) bits each."""
+    m = min(bits, max(1, math.ceil(bits / max(1.0, math.log2(max(codes, 2))))))
+    return [bits // m + (i < bits % m) for i in range(m)]
+
+
+def _segments(code: Column, widths: list[int]) -> Column:
+    """array<bigint>: the values of a code's segments."""
+    at = [sum(widths[:i]) for i in range(len(widths))]
+    return F.array(*[F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in zip(at, widths, strict=True)])
+
+
+def _flips(width: int, radius: int) -> Column:
+    """array<bigint>, constant: all values of ``width`` bits of which ``radius`` are set."""
+    found = ",".join(str(sum(1 << b for b in c)) for c in combinations(range(width), radius))
+    return F.split(F.lit(found), ",").cast("array<bigint>") if found else F.array().cast("array<bigint>")
+
+
+def _probes(open_: DataFrame, widths: list[int], radius: int, hot: DataFrame) -> DataFrame:
+    """(q, s, v, part): the values that the open queries (q) look up at this radius."""
+    per_segment = open_.select("q", F.posexplode(_segments(F.col("q"), widths)).alias("s", "own"))
+    flips = _flips(widths[0], radius)
+    for i, w in enumerate(widths):
+        if w != widths[0]:
+            flips = F.when(F.col("s") < i, flips).otherwise(_flips(w, radius))
+            break
+    values = per_segment.select("q", "s", "own", F.explode(flips).alias("flip")).select("q", "s", F.col("own").bitwiseXOR(F.col("flip")).alias("v"))
+    parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    return values.join(hot, ["s", "v"], "left").select("q", "s", "v", F.explode(parts).alias("part"))
+
+
+def _first_met(widths: list[int], radius: int) -> Column:
+    """Whether a code that query q meets in segment s at this radius was met in no other segment or step before."""
+    apart = F.transform(F.arrays_zip(_segments(F.col("q"), widths).alias("a"), _segments(F.col("code"), widths).alias("b")), lambda x: F.bit_count(x["a"].bitwiseXOR(x["b"])))
+    return F.forall(F.transform(apart, lambda d, i: F.when(i < F.col("s"), d > radius).otherwise(d >= radius)), lambda x: x)
+
+
+def hamming_topk(base: DataFrame, queries: DataFrame, k: int, bits: int = 64, most_postings: int = 50_000) -> DataFrame:
     """The k nearest base rows of every query.
 
     base, queries: (id, code); other columns are ignored. Rows with a null id or code take no part, a repeated (id, code)
-    row counts once. Returns (query_id, rank, neighbor_id, distance), rank from 1 by distance and then id; fewer than k
-    rows only if base holds fewer; none for an empty base. A query that is itself a base row finds itself at distance 0.
+    row counts once; a query id with several codes is searched with the least. Returns (query_id, rank, neighbor_id,
+    distance), rank from 1 by distance and then id; fewer than k rows only if base holds fewer; none for an empty base. A
+    query that is itself a base row finds itself at distance 0. A value with more than ``most_postings`` postings is split.
     """
-    clean = lambda df: df.select(F.col("id").cast("bigint").alias("id"), F.col("code").cast("bigint").alias("code")).dropna().dropDuplicates()
-    base, queries = clean(base), clean(queries).dropDuplicates(["id"])
-    n_base, n_queries = base.count(), queries.count()
-    shards = _packed(base, "shard", shard_rows, n_base)
-    blocks = _packed(queries, "block", block_rows, n_queries).select("block", F.col("ids").alias("qids"), F.col("codes").alias("qcodes"))
-    n_shards = max(1, -(-n_base // shard_rows))
-    blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    pairs = n_shards * max(1, -(-n_queries // block_rows))
-    work = blocks.join(shards, "shard").repartition(min(pairs, 8192), "shard", "block")  # costly rows, too small for Spark to spread by itself
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                get = lambda c: np.frombuffer(batch.column(c)[row].as_py(), dtype="<i8")  # noqa: B023, E731
-                qids = get("qids")
-                q, c, d = search_shard(get("codes").view("<u8"), get("ids"), get("qcodes").view("<u8"), k, bits, segments)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(c), pa.array(d.astype(np.int32))], ["query_id", "neighbor_id", "distance"])
-
-    # A few large rows a batch: a pair is up to (shard_rows + block_rows) * 16 bytes.
-    near = work.mapInArrow(search, "query_id bigint, neighbor_id bigint, distance int")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    clean = lambda df: df.select(F.col("id").cast("bigint").alias("id"), F.col("code").cast("bigint").alias("code")).dropna()
+    first = F.row_number().over(Window.partitionBy("code").orderBy("id"))
+    codes = clean(base).dropDuplicates().withColumn("at", first).filter(F.col("at") <= k).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    codes = written(codes, "mih-codes")
+    asked = written(clean(queries).groupBy("id").agg(F.min("code").alias("q")), "mih-queries")
+    facts = codes.agg(F.count("*").alias("n"), F.sum(F.size("ids").cast("bigint")).alias("rows")).first()
+    widths, need = segment_widths(facts["n"], bits), min(k, facts["rows"] or 0)
+
+    postings = codes.select("code", F.get("ids", F.lit(0)).alias("id"), F.size("ids").alias("times"), F.posexplode(_segments(F.col("code"), widths)).alias("s", "v"))
+    parts = F.ceil(F.count("*") / most_postings).cast("int")
+    hot = small_side(written(postings.groupBy("s", "v").agg(parts.alias("parts")).filter(F.col("parts") > 1), "mih-hot"))
+    part = F.pmod(F.xxhash64("code"), F.coalesce("parts", F.lit(1))).cast("int")
+    index = postings.join(hot, ["s", "v"], "left").select("s", "v", part.alias("part"), "code", "id", "times")
+    buckets = min(10_000, 8 + facts["n"] * len(widths) // 1_000_000)
+    index = bucketed(index.repartition(buckets, "s", "v", "part"), "mih-index", ["s", "v", "part"], buckets)
+
+    best, open_ = None, asked.select("q").distinct()
+    nearest = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
+    for radius in range(max(widths) + 1):
+        met = _probes(open_, widths, radius, hot).join(index, ["s", "v", "part"]).filter(_first_met(widths, radius))
+        met = met.select("q", "code", "id", "times", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
+        before = best, open_
+        # ties go to the least id, so k codes by distance and least id hold the k nearest rows
+        best = written((met if best is None else met.unionByName(best)).withColumn("at", nearest).filter(F.col("at") <= k).drop("at"), "mih-best")
+        sure = best.filter(F.col("distance") < len(widths) * (radius + 1)).groupBy("q").agg(F.sum("times").alias("times")).filter(F.col("times") >= need)
+        open_ = written(open_.join(sure, "q", "left_anti"), "mih-open")
+        dropped(*(x for x in before if hasattr(x, "_quarrylight_path")))
+        if open_.isEmpty():
+            break
+
+    rows = best.select("q", "code", "distance").join(codes, "code").select("q", "distance", F.explode("ids").alias("id"))
+    rows = rows.withColumn("at", nearest).filter(F.col("at") <= k)
+    lists = written(rows.groupBy("q").agg(F.collect_list(F.struct("at", "id", "distance")).alias("near")), "mih-lists")  # k a query
+    out = spread_join(asked, lists, "q").select(F.col("id").alias("query_id"), F.explode("near").alias("x"))
+    return out.select("query_id", F.col("x.at").alias("rank"), F.col("x.id").alias("neighbor_id"), F.col("x.distance").alias("distance"))
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

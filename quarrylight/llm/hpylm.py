@@ -438,7 +438,7 @@ def fit_and_score(documents: DataFrame, sweeps: int = 3, strength: float = 1.0)
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     word_shards, pair_shards = 1 + n_bytes // WORD_SHARD_BYTES, 1 + n_bytes // PAIR_SHARD_BYTES
     in_words, in_pairs, in_blocks = (min(int(n), 20_000) for n in (word_shards, pair_shards, 1 + n_bytes // (2 * BLOCK_BYTES)))
-    blocks = bucketed(_code(rows), "lm-blocks", "block", in_blocks)
+    blocks = bucketed(_code(rows), "lm-blocks", ["block"], in_blocks)
 
     met = _partitions(_send_words(blocks, word_shards), "shard", in_words).groupBy("shard").applyInArrow(_number_words, MESSAGES)
     numbered = written(met, "lm-numbers")

@@ -1,9 +1,8 @@
 import random
 
-import numpy as np
 import pytest
 
-from quarrylight.llm.hamming import hamming_topk, search_shard, sign_code
+from quarrylight.llm.hamming import hamming_topk, segment_widths, sign_code
 
 SCHEMA = "id bigint, code bigint, rank string"
 
@@ -30,12 +29,12 @@ def rows(seed, n, flips):
     return out
 
 
-@pytest.mark.parametrize("flips,shard,block,segments", [(3, 50, 7, 4), (60, 1000, 100, 4), (20, 64, 3, 8)])
-def test_equals_brute_force(spark, flips, shard, block, segments):
+@pytest.mark.parametrize("flips,most", [(3, 50_000), (60, 50_000), (20, 5)])
+def test_equals_brute_force(spark, flips, most):
     base = rows(flips, 300, flips) + [(400 + i, 77) for i in range(100)]
     queries = base[::25] + [(1000, 77), (1001, -1)]
     dirty = [(*r, "x") for r in [*base, base[3], (None, 5), (500, None)]]
-    out = hamming_topk(spark.createDataFrame(dirty, SCHEMA), spark.createDataFrame([(*q, "x") for q in queries], SCHEMA), 7, segments=segments, shard_rows=shard, block_rows=block)
+    out = hamming_topk(spark.createDataFrame(dirty, SCHEMA), spark.createDataFrame([(*q, "x") for q in queries], SCHEMA), 7, most_postings=most)
     assert sorted(map(tuple, out.collect())) == brute(base, queries, 7)
 
 
@@ -50,7 +49,12 @@ def test_codes(spark):
     assert [r[0] for r in df.select(sign_code("v")).collect()] == [9, 4, None, -(2**63)]
 
 
-def test_search_covers_everything():
-    codes, ids = np.array([5, 5, 2**63], dtype=np.uint64), np.array([3, 1, 2])
-    q, i, d = search_shard(codes, ids, np.array([2**64 - 1], dtype=np.uint64), 3, 64, 4)
-    assert i.tolist() == [1, 3, 2] and d.tolist() == [62, 62, 63]
+def test_segments():
+    assert segment_widths(51_282, 64) == [13, 13, 13, 13, 12] and segment_widths(0, 64) == [1] * 64 and segment_widths(1 << 32, 64) == [32, 32]
+
+
+def test_repeated_queries_and_clashing_names(spark):
+    """Many queries of one code, columns named as the operator's own."""
+    df = spark.createDataFrame([(i, 5 if i < 60 else i * 977, 1, 2) for i in range(100)], "id bigint, code bigint, q int, ids int")
+    got = sorted(map(tuple, hamming_topk(df, df, 4).collect()))
+    assert got == brute([(r.id, r.code) for r in df.collect()], [(r.id, r.code) for r in df.collect()], 4)
