@@ -1,11 +1,16 @@
 """Main-text extraction from HTML by line-block distribution.
 
-Markup is stripped into lines, one for each block-level piece of the page; elements that are boilerplate by their tag,
-role or class leave blank lines behind. The distribution of a page is the sum of text lengths over sliding windows of
-``window`` lines (text of links counts for little). A surge point is where it rises from nothing to text, a dive point
-where it falls back; the text between them is a candidate region. The region with most text is the article; the other
-regions in the same article or main element belong to it, as do, on pages without such an element, other regions that
-surge at least ``share`` as high.
+Markup is stripped into lines, one for each block-level piece of the page; what markup itself names as boilerplate (menus,
+forms, footers, hidden elements, telling classes) leaves blank lines behind. A line's size is the length of its text outside
+links less that inside; a short line that is no sentence has size 0, as the words of menus and notices have. The
+distribution of a page is the sum of sizes over sliding windows of ``window`` lines. A surge point is where it rises to
+``rise`` times its mean over the lines with text, a dive point where it falls below; the text between them is a region, and
+regions between which only a few lines stand are one. The region with most text is the article; regions at least ``share``
+as high with at least ``share`` of its text belong to it. The heading above a region's first line goes with it.
+
+Where the page marks an article or main element, the distribution is taken within the marked elements: the element with
+most text is the article, others belong to it by the same share, and what lies in them is kept, short lines too, but for
+runs of lines that are nothing but links.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +37,9 @@ _MARKUP = re.compile(
     re.S | re.I,
 )
 _SPACE = re.compile(r"\s+")
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: What a sentence ends in, with quotes or brackets behind it.
+_SENTENCE_END = re.compile(r"""[.!?:;\u2026\u3002\uff01\uff1f]["'\u201d\u2019\u00bb)\]]*$""")
 _PART = re.compile(r"[^a-z]+")
 
 #: Elements that never hold article text.
@@ -59,6 +67,9 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li "
     "main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A line of fewer characters has no part in the distribution unless it is a sentence.
+SHORT = 40
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN_TAGS = frozenset(["article", "main"])
 #: An open element of the first kind is closed by a start tag of the second.
@@ -97,14 +108,35 @@ def _is_dropped(tag: str, attributes: str, in_main: bool) -> str:
     return why
 
 
-def page_lines(page: str, window: int = 3, spared: frozenset[int] = frozenset()) -> list[tuple[str, int, int]]:
-    """(text, characters outside links, number of the enclosing main element or 0); text is "" where boilerplate was.
+class Line(NamedTuple):
+    """text: "" where boilerplate was; plain, linked: characters outside and inside links; where: number of the enclosing main
+    element, or 0; heading: whether it is one."""
+
+    text: str
+    plain: int = 0
+    linked: int = 0
+    where: int = 0
+    heading: bool = False
+
+    @property
+    def size(self) -> int:
+        """Its part in the distribution."""
+        return max(0, self.plain - self.linked) if len(self.text) >= SHORT or _SENTENCE_END.search(self.text) else 0
+
+    @property
+    def is_link(self) -> bool:
+        return bool(self.text) and self.linked > 0 and self.plain == 0
+
+
+def page_lines(page: str, window: int = 3, spared: frozenset[int] = frozenset()) -> list[Line]:
+    """The lines of a page.
 
     If all main elements are within elements dropped by their names, or within a form, those around the first are kept;
     ``spared`` has their places in the page."""
-    lines: list[tuple[str, int, int]] = []
+    lines: list[Line] = []
     pieces: list[str] = []
     plain = linked = 0
+    heading = False
     stack: list[tuple[str, bool, int]] = []  # tag, whether it starts a dropped element, its main element
     dropping = in_link = mains = 0
     where = 0
@@ -112,13 +144,14 @@ def page_lines(page: str, window: int = 3, spared: frozenset[int] = frozenset())
     to_spare: frozenset[int] = frozenset()
 
     def end_line() -> None:
-        nonlocal plain, linked
+        nonlocal plain, linked, heading
         if pieces:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                lines.append((text, plain, where))
+                lines.append(Line(text, plain, linked, where, heading))
             pieces.clear()
         plain = linked = 0
+        heading = False
 
     def close(depth: int) -> None:
         nonlocal dropping, in_link, where
@@ -128,18 +161,21 @@ def page_lines(page: str, window: int = 3, spared: frozenset[int] = frozenset())
                 around.pop()
                 dropping -= 1
                 if not dropping:
-                    lines.extend([("", 0, 0)] * window)
+                    lines.extend([Line("")] * window)
             if tag == "a":
                 in_link = max(0, in_link - 1)
             if tag in MAIN_TAGS:
                 where = outer
 
     def text_piece(text: str) -> None:
-        nonlocal plain
+        nonlocal plain, linked
         if text and not dropping:
             pieces.append(text)
-            if not in_link:
-                plain += len(text) - text.count(" ")
+            size = len(text) - text.count(" ")
+            if in_link:
+                linked += size
+            else:
+                plain += size
 
     at = 0
     for m in _MARKUP.finditer(page):
@@ -177,6 +213,8 @@ def page_lines(page: str, window: int = 3, spared: frozenset[int] = frozenset())
             dropping += 1
         if tag in MAIN_TAGS and dropping and not to_spare and all(x[1] == "name" for x in around):
             to_spare = frozenset(x[0] for x in around)
+        if tag in HEADINGS:
+            heading = True
         if tag == "a":
             in_link += 1
         if tag in MAIN_TAGS and not dropping:
@@ -189,46 +227,100 @@ def page_lines(page: str, window: int = 3, spared: frozenset[int] = frozenset())
     return lines
 
 
-def regions(sizes: list[int], window: int = 3) -> list[tuple[int, int, int]]:
-    """(start, end, height) of each stretch of lines between a surge and a dive point of the distribution."""
+def distribution(sizes: list[int], window: int = 3) -> list[int]:
+    """The sum over the window that ends at each line."""
     sums, total = [], 0
     for i, n in enumerate(sizes):
         total += n - (sizes[i - window] if i >= window else 0)
-        sums.append(total)  # the window that ends at line i
-    found, start, height = [], None, 0
-    for i, s in enumerate(sums):
-        if s and start is None:
-            start, height = i, 0
-        if start is not None:
-            height = max(height, s)
-            if not s:
-                found.append((start, i, height))
-                start = None
-    if start is not None:
-        found.append((start, len(sums), height))
+        sums.append(total)
+    return sums
+
+
+def regions(lines: list[Line], window: int = 3, rise: float = 0.5) -> list[tuple[int, int]]:
+    """(first line, end) of each stretch between a surge and a dive point; those at most ``window`` lines of text apart are one."""
+    sizes = [x.size for x in lines]
+    sums = distribution(sizes, window)
+    some = [s for s in sums if s]
+    if not some:
+        return []
+    least = rise * sum(some) / len(some)
+    found: list[tuple[int, int]] = []
+    start = None
+    for i, s in enumerate([*sums, 0]):
+        if s >= least and start is None:
+            start = i
+        elif s < least and start is not None:
+            a = next(k for k in range(max(0, start - window + 1), len(lines)) if sizes[k])
+            b = next(k for k in range(i - 1, -1, -1) if sizes[k]) + 1
+            start = None
+            if found and a - found[-1][1] <= window and all(x.text for x in lines[found[-1][1] : a]):
+                a = found.pop()[0]
+            found.append((a, b))
     return found
 
 
-def main_text(page: str | None, window: int = 3, share: float = 0.3) -> str:
+def _up_to_boilerplate(lines: list[Line], a: int, b: int, window: int) -> tuple[int, int]:
+    """A region with the few lines, none of them a link, that part it from what markup names as boilerplate."""
+    for k in range(b, min(b + window, len(lines) - 1) + 1):
+        if k == len(lines) or lines[k].is_link:
+            break
+        if not lines[k].text:
+            b = k
+            break
+    for k in range(a - 1, max(a - 1 - window, 0) - 1, -1):
+        if lines[k].is_link:
+            break
+        if not lines[k].text:
+            a = k + 1
+            break
+    return a, b
+
+
+def _without_menus(lines: list[Line], window: int) -> list[str]:
+    """The texts of lines, but for runs of at least ``window`` lines that are nothing but links."""
+    out: list[str] = []
+    run: list[str] = []
+    for x in [*lines, Line("")]:
+        if x.is_link:
+            run.append(x.text)
+            continue
+        out += run if len(run) < window else []
+        run = []
+        if x.text:
+            out.append(x.text)
+    return out
+
+
+def main_text(page: str | None, window: int = 3, share: float = 0.3, rise: float = 0.5) -> str:
     """The article's blocks in page order, joined by line breaks; "" for a null or empty page or one without text."""
     lines = page_lines(page or "", window)
-    found = regions([0 if not text else plain + 1 for text, plain, _ in lines], window)
-    if not found:
-        return ""
-    weight = [sum(plain for _, plain, _ in lines[a:b]) + 10_000_000 * any(w for _, _, w in lines[a:b]) for a, b, _ in found]
-    a, b, height = found[max(range(len(found)), key=lambda i: (weight[i], -i))]
-    home = next((w for _, _, w in lines[a:b] if w), 0)
-    kept = []
-    for start, end, top in found:
-        if home or start == a or top >= share * height:
-            kept += [text for text, _, w in lines[start:end] if text and (w or not home)]
-    return "\n".join(kept)
+    marked = sorted({x.where for x in lines if x.text and x.where})
+    if marked:
+        weight = {w: sum(max(0, x.plain - x.linked) for x in lines if x.where == w) for w in marked}
+        most = max(weight.values())
+        return "\n".join(_without_menus([x for x in lines if x.where and weight[x.where] >= share * most], window))
+    found = regions(lines, window, rise)
+    if not found:  # no sentence and no long line: what there is, menus left out
+        return "\n".join(_without_menus(lines, window))
+    sums = distribution([x.size for x in lines], window)
+    weight = [sum(x.size for x in lines[a:b]) for a, b in found]
+    height = [max(sums[a:b]) for a, b in found]
+    best = max(range(len(found)), key=lambda i: (weight[i], -i))
+    kept: list[Line] = []
+    for i, (a, b) in enumerate(found):
+        if i == best or (weight[i] >= share * weight[best] and height[i] >= share * height[best]):
+            a, b = _up_to_boilerplate(lines, a, b, window)
+            while a > 0 and lines[a - 1].heading and lines[a - 1].text:
+                a -= 1
+            kept += [*lines[a:b], Line("")]
+    return "\n".join(_without_menus(kept, window))
 
 
 def extract(pages: DataFrame, html_column: str = "html", window: int = 3) -> DataFrame:
     """pages plus text and n_chars (code points); existing columns of these names are replaced.
 
-    Each page is a row by itself, so nothing depends on ties, repeated rows or the number of rows; null html gives "".
+    Each page is a row by itself and read whole, so nothing depends on ties, repeated rows, the number of rows or the length of
+    others; null html gives "".
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
