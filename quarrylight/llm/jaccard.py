@@ -178,7 +178,8 @@ def _combined_keys(texts: DataFrame, words: int, rule: Rule) -> DataFrame:
 
 
 def _forest(nodes: list[int], sets: list[np.ndarray], left: int, rule: Rule) -> list[tuple[int, int]]:
-    """A spanning forest of the links that the first ``left`` sets have, among themselves and to the others."""
+    """Of the links that the first ``left`` sets have, among themselves and to the others, what hangs together: an edge from each
+    node to the least of its component."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(tokens, kind="stable")
@@ -191,7 +192,6 @@ def _forest(nodes: list[int], sets: list[np.ndarray], left: int, rule: Rule) ->
             x = root[x]
         return x
 
-    out = []
     for i in range(left):
         a = np.searchsorted(tokens, sets[i], "left")
         count = np.searchsorted(tokens, sets[i], "right") - a
@@ -200,16 +200,19 @@ def _forest(nodes: list[int], sets: list[np.ndarray], left: int, rule: Rule) ->
         for j in np.flatnonzero(rule.linked(both, sizes[i], sizes)).tolist():
             x, y = find(i), find(j)
             if x != y:
-                root[x] = y
-                out.append((nodes[i], nodes[j]))
-    return out
+                root[max(x, y)] = min(x, y)
+    least: dict[int, int] = {}
+    for i, node in enumerate(nodes):
+        least[find(i)] = min(node, least.get(find(i), node))
+    return [(node, least[find(i)]) for i, node in enumerate(nodes) if node != least[find(i)]]
 
 
 _TILE = pa.schema([("cluster", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("mine", pa.int32()), ("node", pa.int64()), ("hashes", pa.binary())])
 
 
 def _tiled(texts: DataFrame, words: int, rule: Rule) -> DataFrame:
-    """(u, v): links among (node, cluster, mine, others array<int>, text) rows, enough of them to connect what is linked.
+    """(u, v): what (node, cluster, mine, others array<int>, text) rows are linked, as edges to the least node of what hangs
+    together in a tile.
 
     Rows of a cluster meet in a tile for each two blocks ``mine`` and one of ``others``."""
 
@@ -278,24 +281,31 @@ def _verified(documents: DataFrame, members: DataFrame, words: int, rule: Rule,
         return links
 
     def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-        found = components(links).withColumnRenamed("node", "_node")
-        return rows.join(found, rows["node"] == found["_node"], "left").withColumn("label", F.coalesce("label", "node")).drop("_node")
+        """rows plus label: the least node of what hangs together in a node's own tile, or the node itself."""
+        found = links.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        return rows.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    many = written(rows.filter(F.col("blocks").isNotNull()), "jaccard-many")
+    many = written(labelled(rows.filter(F.col("blocks").isNotNull()), links), "jaccard-many")
     near = Window.partitionBy("cluster", "mine", "label").orderBy(F.xxhash64("node"), "node")
-    few = labelled(many, links).withColumn("at", F.row_number().over(near)).filter(F.col("at") <= 8).select("cluster", "node", "n", "doc_id", "text_hash")
+    few = many.withColumn("at", F.row_number().over(near)).filter(F.col("at") <= 8).select("cluster", "node", "n", "doc_id", "text_hash", F.col("label").alias("first"))
     few, _ = _blocked(written(few, "jaccard-few"), tile_rows, tile_tokens, broadcast_rows)
-    links = links.unionByName(meet(few.withColumn("others", F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))))
+    few = written(few, "jaccard-few-blocked")
+    more = meet(few.withColumn("others", F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    links = links.unionByName(more)
+    # The representatives of one label may have met others in several tiles; it counts as one with others only where all agree.
+    again = labelled(few, more.groupBy("u").agg(F.min("v").alias("v"))).groupBy("cluster", "first").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    again = written(again.filter("a = b").select("cluster", F.col("first").alias("label"), F.col("a").alias("merged")), "jaccard-merged")
+    many = many.join(small_side(again, broadcast_rows), ["cluster", "label"], "left").withColumn("label", F.coalesce("merged", "label"))
 
     # A pair of blocks that is one component by now has nothing to add.
-    state = labelled(many, links).groupBy("cluster", "mine").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    state = many.groupBy("cluster", "mine").agg(F.min("label").alias("a"), F.max("label").alias("b"))
     state = written(state, "jaccard-state")
     other = state.select("cluster", F.col("mine").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob"))
     open_ = state.join(other, "cluster").filter((F.col("mine") != F.col("other")) & ((F.col("a") != F.col("ob")) | (F.col("b") != F.col("oa"))))
     open_ = written(open_.groupBy("cluster", "mine").agg(F.collect_list("other").alias("others")), "jaccard-open")
     if open_.isEmpty():
         return links
-    return links.unionByName(meet(many.join(small_side(open_), ["cluster", "mine"])))
+    return links.unionByName(meet(many.join(small_side(open_, broadcast_rows), ["cluster", "mine"])))
 
 
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -349,7 +359,7 @@ def _grouped(documents: DataFrame, words: int, num: int, den: int, rare: int, ti
     return rows.select("doc_id", "text_hash", "node", "n"), groups
 
 
-def jaccard_components(documents: DataFrame, words: int = 4, num: int = 85, den: int = 100, rare: int = 24, tile_rows: int = 1024, tile_tokens: int = 1 << 20, broadcast_rows: int = 400_000) -> DataFrame:
+def jaccard_components(documents: DataFrame, words: int = 4, num: int = 85, den: int = 100, rare: int = 24, tile_rows: int = 1024, tile_tokens: int = 1 << 20, broadcast_rows: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles bigint, component_id) for every row of documents (doc_id, text; other columns are ignored).
 
     Two rows link when den * |intersection| >= num * |union| of their shingle sets; component_id is the least doc_id that
@@ -363,7 +373,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, num: int = 85, den:
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(documents: DataFrame, words: int = 5, num: int = 4, den: int = 5, rare: int = 24, tile_rows: int = 1024, tile_tokens: int = 1 << 20, broadcast_rows: int = 400_000) -> DataFrame:
+def keep_one(documents: DataFrame, words: int = 5, num: int = 4, den: int = 5, rare: int = 24, tile_rows: int = 1024, tile_tokens: int = 1 << 20, broadcast_rows: int = 200_000) -> DataFrame:
     """The rows of documents, all columns, one of each group of near duplicates: that of the least id, null ids last.
 
     Rows are told apart by id and text, so ids that repeat do no harm; of rows with the same id and text one stays, as
