@@ -97,5 +97,5 @@ def severity_rank(col: Column | str) -> Column:
 
 
 def penalty(severity: Column | str, confidence: Column | str) -> Column:
-    """Points a finding costs: severity times confidence."""
-    return mapped(severity, SEVERITY_PENALTY) * mapped(confidence, CONFIDENCE_WEIGHT)
+    """Points a finding costs: severity times confidence, in exact hundredths, so that sums do not depend on their order."""
+    return (mapped(severity, SEVERITY_PENALTY) * mapped(confidence, CONFIDENCE_WEIGHT)).cast("decimal(6,2)")

@@ -38,7 +38,7 @@ def capped(findings: DataFrame, most: int = DEFAULTS["max_findings_per_rule"]) -
 
 
 def penalty_totals(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("dimension").agg(F.sum("penalty").alias("points"), F.count("*").alias("n_findings"), F.count_if(F.col("severity") == "critical").alias("n_critical"))
+    return findings.groupBy("dimension").agg(F.sum("penalty").cast("double").alias("points"), F.count("*").alias("n_findings"), F.count_if(F.col("severity") == "critical").alias("n_critical"))
 
 
 def dimension_scores(findings: DataFrame, unavailable: list[str] | None = None, settings: dict = DEFAULTS) -> DataFrame:
@@ -57,8 +57,9 @@ def dimension_scores(findings: DataFrame, unavailable: list[str] | None = None,
 def scorecard(scores: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
     """One row (overall, grade, uncapped, coverage, n_critical): the weighted mean over measured dimensions, capped if a critical finding is open."""
     measured = F.col("score").isNotNull()
+    exact = F.col("score").cast("decimal(20,9)") * F.col("weight").cast("decimal(10,4)")  # the same sum in any order
     one = scores.agg(
-        F.try_divide(F.sum(F.when(measured, F.col("score") * F.col("weight"))), F.sum(F.when(measured, F.col("weight")))).alias("uncapped"),
+        F.try_divide(F.sum(F.when(measured, exact)).cast("double"), F.sum(F.when(measured, F.col("weight")))).alias("uncapped"),
         F.try_divide(F.sum(F.when(measured, F.col("weight")).otherwise(0.0)), F.sum("weight")).alias("coverage"),
         F.sum("n_critical").alias("n_critical"),
     )

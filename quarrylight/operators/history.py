@@ -121,3 +121,10 @@ def hotspots(history: DataFrame, stats: DataFrame, least_commits: int = 3, most:
 def sole_owner(ranked: DataFrame) -> DataFrame:
     """The hotspots that one author alone changed, among the first ten."""
     return ranked.filter((F.col("authors") <= 1) & (F.col("rank") <= 10)).withColumn("severity", F.when(F.col("rank") <= 5, "medium").otherwise("low"))
+
+
+def stale_branches(refs: DataFrame, now: int, days: float, most: int) -> DataFrame:
+    """refs (branch, ts, is_current, ..) plus age_days: branches other than the current one whose tip is ``days`` old or older,
+    the newest of them first."""
+    old = refs.filter(~F.col("is_current") & (F.col("ts") <= now - days * DAY)).withColumn("age_days", (now - F.col("ts")) / float(DAY))
+    return old.orderBy(F.desc("ts"), "branch").limit(most)

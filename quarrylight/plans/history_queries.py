@@ -180,12 +180,13 @@ def s4_history_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT sha, ts, ({NOW_S} - ts) / 86400.0::DOUBLE AS age_days FROM commits WHERE ts <= {NOW_S} - 90 * 86400 AND sha % 7 <> 0 ORDER BY ts DESC, sha LIMIT 20"""
+    f"""SELECT sha, ts, ({NOW_S} - ts) / 86400.0::DOUBLE AS age_days FROM commits WHERE ts <= {NOW_S} - 90 * 86400 AND NOT is_merge ORDER BY ts DESC, sha LIMIT 20"""
 )
 def s9_t7_stale_branches(spark: SparkSession, d: str) -> DataFrame:
-    """Tips older than the limit, but for the current branch's; newest first, the first 20."""
-    tips = commits(spark, d).filter((F.col("ts") <= NOW_S - DEFAULTS["dormant_branch_days"] * hi.DAY) & (F.col("sha") % 7 != 0))
-    return tips.orderBy(F.desc("ts"), "sha").limit(20).select("sha", "ts", ((NOW_S - F.col("ts")) / float(hi.DAY)).alias("age_days"))
+    """Orders as branches, merged ones being current: the tips older than the limit, newest first, the first 20."""
+    refs = commits(spark, d).select(F.col("sha").alias("branch"), "ts", F.col("is_merge").alias("is_current"))
+    found = hi.stale_branches(refs, NOW_S, DEFAULTS["dormant_branch_days"], 20)
+    return found.select(F.col("branch").alias("sha"), "ts", "age_days")
 
 
 # ---- findings -------------------------------------------------------------------------------------------------------
@@ -217,12 +218,13 @@ FINDINGS = f"""f AS (
   SELECT {_list(r.id for r in RULES)}[event_id % {len(RULES)} + 1] AS rule, split_part({_list(r.id for r in RULES)}[event_id % {len(RULES)} + 1], '.', 1) AS dimension,
     {_list(r.severity for r in RULES)}[event_id % {len(RULES)} + 1] AS severity, {_list(CONFIDENCES)}[user_id % 3 + 1] AS confidence,
     'f' || CAST(user_id AS VARCHAR) AS file, event_id AS line, ts FROM events
-), w AS (SELECT *, {_case('severity', SEVERITY_RANK)} AS severity_rank, {_case('severity', SEVERITY_PENALTY)} * {_case('confidence', CONFIDENCE_WEIGHT)} AS penalty FROM f),
+), x AS (SELECT *, {_case('severity', SEVERITY_RANK)} AS severity_rank, {_case('severity', SEVERITY_PENALTY)} * {_case('confidence', CONFIDENCE_WEIGHT)} AS cost FROM f),
+w AS (SELECT * EXCLUDE (cost), CAST(cost AS DECIMAL(6, 2)) AS penalty FROM x),
 r AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY severity_rank DESC, penalty DESC, rule, file, line) AS rn, count(*) OVER (PARTITION BY rule) AS n FROM w),
 capped AS (SELECT * EXCLUDE (rn, n), CAST(1 + CASE WHEN rn = 12 THEN n - 12 ELSE 0 END AS BIGINT) AS occurrences FROM r WHERE rn <= 12)"""
 BUDGET = {"complexity": 400.0, "hotspots": 300.0, "tests": 400.0, "hygiene": 100.0, "deps": 500.0}
 SETTINGS = DEFAULTS | {"budget": BUDGET}
-CARD = f"""points AS (SELECT dimension, sum(penalty) AS points, count(*) AS n_findings, count(*) FILTER (severity = 'critical') AS n_critical FROM capped GROUP BY dimension),
+CARD = f"""points AS (SELECT dimension, CAST(sum(penalty) AS DOUBLE) AS points, count(*) AS n_findings, count(*) FILTER (severity = 'critical') AS n_critical FROM capped GROUP BY dimension),
 dims AS (SELECT * FROM (VALUES {', '.join(f"('{x}', {i}, CAST({BUDGET[x]} AS DOUBLE), CAST({DEFAULTS['weights'][x]} AS DOUBLE), {x != 'hotspots'})" for i, x in enumerate(DIMENSIONS))}) AS v(dimension, ordinal, budget, weight, measured)),
 scores AS (
   SELECT dimension, ordinal, weight, coalesce(points, 0) AS points, coalesce(n_findings, 0) AS n_findings, coalesce(n_critical, 0) AS n_critical,
@@ -235,9 +237,9 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     return fi.dimension_scores(fi.capped(findings(spark, d)), ["hotspots"], SETTINGS)
 
 
-@query(f"WITH {FINDINGS} SELECT rule, file, line, severity_rank, round(penalty, 9) AS penalty, occurrences FROM capped")
+@query(f"WITH {FINDINGS} SELECT rule, file, line, severity_rank, CAST(penalty AS DOUBLE) AS penalty, occurrences FROM capped")
 def w1_w2_capped_findings(spark: SparkSession, d: str) -> DataFrame:
-    return fi.capped(findings(spark, d)).select("rule", "file", "line", "severity_rank", F.round("penalty", 9).alias("penalty"), "occurrences")
+    return fi.capped(findings(spark, d)).select("rule", "file", "line", "severity_rank", F.col("penalty").cast("double").alias("penalty"), "occurrences")
 
 
 @query(f"WITH {FINDINGS} SELECT rule, file, line, CAST(row_number() OVER (ORDER BY severity_rank DESC, penalty DESC, rule, file, line) AS INTEGER) AS place FROM capped")
@@ -246,9 +248,9 @@ def t1_finding_order(spark: SparkSession, d: str) -> DataFrame:
     return fi.capped(findings(spark, d)).select("rule", "file", "line", F.row_number().over(Window.orderBy(*fi.order_by())).alias("place"))
 
 
-@query(f"WITH {FINDINGS} SELECT dimension, round(sum(penalty), 6) AS points, count(*) AS n_findings FROM w GROUP BY dimension")
+@query(f"WITH {FINDINGS} SELECT dimension, CAST(sum(penalty) AS DOUBLE) AS points, count(*) AS n_findings FROM w GROUP BY dimension")
 def a11_a12_penalty_totals(spark: SparkSession, d: str) -> DataFrame:
-    return fi.penalty_totals(fi.weighed(findings(spark, d))).select("dimension", F.round("points", 6).alias("points"), "n_findings")
+    return fi.penalty_totals(fi.weighed(findings(spark, d))).select("dimension", "points", "n_findings")
 
 
 @query(
@@ -263,7 +265,7 @@ _OVERALL = "least(uncapped, CASE WHEN n_critical > 0 THEN 89.0 ELSE 100.0 END)"
 
 
 @query(
-    f"""WITH {FINDINGS}, {CARD}, one AS (SELECT sum(score * weight) / sum(weight) FILTER (score IS NOT NULL) AS uncapped, sum(weight) FILTER (score IS NOT NULL) / sum(weight) AS coverage,
+    f"""WITH {FINDINGS}, {CARD}, one AS (SELECT CAST(sum(CAST(score AS DECIMAL(20, 9)) * CAST(weight AS DECIMAL(10, 4))) AS DOUBLE) / sum(weight) FILTER (score IS NOT NULL) AS uncapped, sum(weight) FILTER (score IS NOT NULL) / sum(weight) AS coverage,
     CAST(sum(n_critical) AS BIGINT) AS n_critical FROM scores)
     SELECT round({_OVERALL}, 6) AS overall, {GRADE.format(_OVERALL)} AS grade, round(uncapped, 6) AS uncapped, round(coverage, 6) AS coverage, n_critical FROM one"""
 )
@@ -278,13 +280,13 @@ def g6_severity_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = findings(spark, d).filter(F.col("line") % 3 != 0)
+    f = findings(spark, d)
     early = F.dayofmonth("ts") <= 15
-    return f.filter(~early & (F.crc32(F.col("rule").cast("binary")) >= 0) & ~F.col("rule").like("%test%")), f.filter(early & ~F.col("rule").like("%large%"))
+    return f.filter(~early & ~F.col("rule").like("%test%")), f.filter(early & ~F.col("rule").like("%large%"))
 
 
-DIFF = f"""WITH {FINDINGS}, cur AS (SELECT rule, count(*) AS after FROM w WHERE line % 3 <> 0 AND day(ts) > 15 AND rule NOT LIKE '%test%' GROUP BY rule),
-base AS (SELECT rule, count(*) AS before FROM w WHERE line % 3 <> 0 AND day(ts) <= 15 AND rule NOT LIKE '%large%' GROUP BY rule),
+DIFF = f"""WITH {FINDINGS}, cur AS (SELECT rule, count(*) AS after FROM w WHERE day(ts) > 15 AND rule NOT LIKE '%test%' GROUP BY rule),
+base AS (SELECT rule, count(*) AS before FROM w WHERE day(ts) <= 15 AND rule NOT LIKE '%large%' GROUP BY rule),
 diff AS (SELECT rule, CASE WHEN before IS NULL THEN 'new' WHEN after IS NULL THEN 'resolved' WHEN after > before THEN 'increased' WHEN after < before THEN 'decreased' ELSE 'unchanged' END AS kind,
   CAST(coalesce(before, 0) AS BIGINT) AS before, CAST(coalesce(after, 0) AS BIGINT) AS after FROM cur FULL JOIN base USING (rule))"""
 
@@ -297,13 +299,13 @@ def j11_g7_baseline_diff(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{DIFF} SELECT rule FROM diff WHERE kind = 'new'")
 def u1_new_rules(spark: SparkSession, d: str) -> DataFrame:
     current, base = _halves(spark, d)
-    return current.select("rule").distinct().join(base, "rule", "left_anti")
+    return current.select("rule").subtract(base.select("rule"))
 
 
 @query(f"{DIFF} SELECT rule FROM diff WHERE kind = 'resolved'")
 def u2_resolved_rules(spark: SparkSession, d: str) -> DataFrame:
     current, base = _halves(spark, d)
-    return base.select("rule").exceptAll(base.select("rule").limit(0)).distinct().join(current, "rule", "left_anti")
+    return base.select("rule").subtract(current.select("rule"))
 
 
 @query(f"{DIFF} SELECT rule, before, after FROM diff WHERE kind IN ('increased', 'decreased')")
