@@ -37,6 +37,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     p.add_argument("--now", type=int)
     p.add_argument("--list-rules", action="store_true")
     p.add_argument("--explain")
+    p.add_argument("-v", "--verbose", action="store_true")
     try:
         a = p.parse_args(argv)
     except SystemExit as stop:
@@ -79,7 +80,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         os.makedirs(os.path.dirname(os.path.abspath(a.markdown)), exist_ok=True)
         with open(a.markdown, "w", encoding="utf-8") as f:
             f.write(rp.markdown(document))
-    print(rp.console(document), end="")
+    print(rp.console(document, colour=sys.stdout.isatty() and not os.environ.get("NO_COLOR"), verbose=a.verbose, encoding=getattr(sys.stdout, "encoding", None) or "ascii"), end="")
     if change:
         print(rp.diff_text(change), end="")
     if a.fail_below and document["grade"] and GRADES.index(document["grade"]) > GRADES.index(a.fail_below):

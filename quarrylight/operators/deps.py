@@ -71,14 +71,29 @@ def pending_keys(wanted: DataFrame, cache: DataFrame, now: int, ttl_hours: float
 
 
 def advisory_severity(advisories: DataFrame) -> DataFrame:
-    """advisories (id, database_severity, scores array<struct<type, score>>, aliases array) plus severity.
-
-    The database's CRITICAL counts first; else the first usable score, version 3 before others; else an alias makes it high."""
-    value = lambda s: F.when(F.upper(s["score"]).startswith("CVSS:"), cvss_base(s["score"])).otherwise(F.try_to_number(s["score"], F.lit("99.99")).cast("double"))
-    rated = F.transform("scores", lambda s, i: F.struct(F.when(F.lower(s["type"]).contains("3") | F.upper(s["score"]).startswith("CVSS:3"), 0).otherwise(1).alias("old"), i.alias("i"), value(s).alias("value")))
-    first = F.get(F.array_sort(F.filter(rated, lambda s: s["value"].isNotNull())), F.lit(0))["value"]
-    severity = F.when(F.upper("database_severity") == "CRITICAL", "critical").otherwise(F.coalesce(score_severity(first), F.when(F.size("aliases") > 0, "high").otherwise("medium")))
-    return advisories.withColumn("severity", severity)
+    """advisories (id, database_severity, scores array<struct<type, score>>, aliases array, ..) plus severity.
+
+    The database's CRITICAL counts first; else the first usable score, version 3 before others; else an alias makes it high.
+    Scores are rated as rows, one base score each, and the first is joined back."""
+    each = advisories.select("id", F.posexplode("scores").alias("i", "s")).select("id", "i", F.col("s.type").alias("type"), F.col("s.score").alias("text"))
+    each = each.withColumn("base", cvss_base(F.col("text"))).withColumn("plain", F.try_to_number("text", F.lit("99.99")).cast("double"))
+    each = each.withColumn("value", F.when(F.upper("text").startswith("CVSS:"), F.col("base")).otherwise(F.col("plain"))).filter("value is not null")
+    old = F.when(F.lower("type").contains("3") | F.upper("text").startswith("CVSS:3"), 0).otherwise(1)
+    first = each.groupBy("id").agg(F.min_by("value", F.struct(old, F.col("i"))).alias("first_score"))
+    known = score_severity(F.col("first_score"))
+    severity = F.when(F.upper("database_severity") == "CRITICAL", "critical").otherwise(F.coalesce(known, F.when(F.size("aliases") > 0, "high").otherwise("medium")))
+    return advisories.join(first, "id", "left").withColumn("severity", severity).drop("first_score")
+
+
+def advisory_evidence(found: DataFrame, advisories: DataFrame, most: int = 8) -> DataFrame:
+    """found (.., advisories array) plus evidence: of the first ``most`` advisories the id, up to three fixed versions and the
+    beginning of the summary."""
+    fixed = F.array_join(F.slice(F.array_sort(F.array_distinct("fixed")), 1, 3), ", ")
+    said = F.concat("id", F.when(F.size("fixed") > 0, F.concat(F.lit(" (fixed in "), fixed, F.lit(")"))).otherwise(""), F.when(F.length("summary") > 0, F.concat(F.lit(": "), F.substring("summary", 1, 120))).otherwise(""))
+    lines = advisories.select(F.col("id").alias("advisory"), said.alias("said"))
+    first = found.select("name", "manifest", "version", F.posexplode(F.slice("advisories", 1, most)).alias("at", "advisory")).join(lines, "advisory", "left")
+    told = first.groupBy("name", "manifest", "version").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("said", "advisory").alias("said")))).alias("told"))
+    return found.join(told, ["name", "manifest", "version"], "left").withColumn("evidence", F.transform("told", lambda x: x["said"])).drop("told")
 
 
 def vulnerable(wanted: DataFrame, matches: DataFrame, advisories: DataFrame) -> DataFrame:

@@ -23,7 +23,16 @@ NAMED = {
     "Makefile": "Make", "Dockerfile": "Dockerfile", "Jenkinsfile": "Scala", "Rakefile": "Ruby", "Gemfile": "Ruby", "Gemfile.lock": "Lockfile", "Pipfile": "TOML", "Pipfile.lock": "JSON",
     "go.mod": "TOML", "go.sum": "Text", "Cargo.toml": "TOML", "Cargo.lock": "TOML", "CMakeLists.txt": "CMake", ".gitignore": "Text", ".dockerignore": "Text", ".editorconfig": "Text",
 }
-LINE_COMMENTS = {"Python": "#", "Ruby": "#", "PHP": "//", "Shell": "#", "PowerShell": "#", "SQL": "--", "Elixir": "#", "Erlang": "%", "Haskell": "--", "Lua": "--", "R": "#", "Make": "#", "CMake": "#", "Terraform": "#"}
+# The signs that open a line comment and the pairs that enclose a block comment, by language; others are as C.
+LINE_COMMENTS = {
+    "Python": ["#"], "Ruby": ["#"], "PHP": ["//", "#"], "Shell": ["#"], "PowerShell": ["#"], "SQL": ["--"], "Elixir": ["#"], "Erlang": ["%"], "Haskell": ["--"], "Lua": ["--"], "R": ["#"],
+    "Make": ["#"], "CMake": ["#"], "Terraform": ["#"], "Markdown": ["#"], "YAML": ["#"], "TOML": ["#"], "Dockerfile": ["#"], "Text": ["#"],
+}
+BLOCK_COMMENTS = {
+    "Python": [], "Ruby": [("=begin", "=end")], "Shell": [], "PowerShell": [("<#", "#>")], "Elixir": [], "Erlang": [], "Haskell": [("{-", "-}")], "Lua": [("--[[", "]]")], "R": [], "Make": [], "CMake": [],
+    "Markdown": [], "YAML": [], "JSON": [], "TOML": [], "Dockerfile": [], "Text": [],
+}
+C_LIKE = ["//"], [("/*", "*/")]
 LOCKFILES = {
     "package-lock.json": "npm", "npm-shrinkwrap.json": "npm", "yarn.lock": "npm", "pnpm-lock.yaml": "npm", "bun.lockb": "npm", "poetry.lock": "python", "uv.lock": "python",
     "Pipfile.lock": "python", "requirements.lock": "python", "pylock.toml": "python", "pylock.json": "python", "Cargo.lock": "cargo", "go.sum": "gomod", "Gemfile.lock": "bundler",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from .paths import BLOCK_COMMENTS, C_LIKE, LANGUAGES, LINE_COMMENTS
 
 # Fixed values: (pattern, label) of tests that are skipped or focused, and of tests that depend on time, chance or ports.
 SKIPPED = (
@@ -61,11 +62,47 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def line_stats(files: DataFrame, comment: str = "#", long_chars: int = DEFAULTS["long_line_chars"]) -> DataFrame:
-    """files plus total_lines, code_lines, comment_lines, blank_lines, long_lines, max_line_length; counted inside each row."""
-    kinds = F.transform(F.col("_l"), lambda x: F.when(F.trim(x) == "", "blank").when(F.trim(x).startswith(comment), "comment").otherwise("code"))
+def _escaped(text: str) -> str:
+    return "".join(c if c.isalnum() or c.isspace() else "\\" + c for c in text)
+
+
+def tokens_pattern(line_signs: list[str], blocks: list[tuple[str, str]]) -> str:
+    """A regular expression, for Java and Python alike, of what may hide a comment sign: comments (group 1) and documentation in
+    triple quotes on one line (group 2), and plain strings, which stay visible."""
+    comments = [f"{_escaped(a)}(?s:.*?)(?:{_escaped(b)}|\\z)" for a, b in blocks] + [f"{_escaped(x)}[^\n]*" for x in line_signs]
+    documentation = r'"{3}[^\n]*?(?:"{3}|(?=\n)|\z)|\'{3}[^\n]*?(?:\'{3}|(?=\n)|\z)'
+    strings = r'"(?:\\[^\n]|[^"\\\n])*"|\'(?:\\[^\n]|[^\'\\\n])*\''
+    return f"({'|'.join(comments) or '(?!)'})|({documentation})|{strings}"
+
+
+def signs(language: str | None) -> tuple[list[str], list[tuple[str, str]]]:
+    """The comment signs of a language."""
+    return LINE_COMMENTS.get(language or "", C_LIKE[0]), BLOCK_COMMENTS.get(language or "", C_LIKE[1])
+
+
+def visible(text: Column, pattern: Column) -> Column:
+    """A text without its comments and one-line documentation, line breaks kept."""
+    found = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("all"), F.regexp_extract_all(text, pattern, F.lit(1)).alias("comment"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("doc"))
+    shown = lambda x: F.when((F.length(x["comment"]) > 0) | (F.length(x["doc"]) > 0), F.regexp_replace(x["all"], "[^\n]+", " ")).otherwise(F.coalesce(x["all"], F.lit("")))
+    return F.array_join(F.transform(found, lambda x: F.concat(x["before"], shown(x))), "")
+
+
+def line_stats(files: DataFrame, comment: str | None = None, long_chars: int = DEFAULTS["long_line_chars"]) -> DataFrame:
+    """files plus total_lines, code_lines, comment_lines, blank_lines, long_lines, max_line_length; counted inside each row.
+
+    A line is blank, or a comment if nothing of it is left without comments, else code. Comments are those of the row's
+    language; ``comment`` is the one sign to go by instead. Documentation over several lines is code, as are strings."""
+    plain = F.regexp_replace("text", "\r\n?", "\n")
+    if comment is not None:
+        pattern = F.lit(tokens_pattern([comment], []))
+    else:
+        known = {name: tokens_pattern(*signs(name)) for name in LANGUAGES}
+        pattern = F.lit(tokens_pattern(*C_LIKE))
+        for p in sorted(set(known.values())):
+            pattern = F.when(F.col("language").isin([name for name in known if known[name] == p]), F.lit(p)).otherwise(pattern)
+    kinds = F.zip_with("_l", "_s", lambda x, s: F.when(F.trim(F.translate(x, "\t\f\v", "   ")) == "", "blank").when(F.trim(F.translate(F.coalesce(s, F.lit("")), "\t\f\v", "   ")) == "", "comment").otherwise("code"))
     count = lambda kind: F.size(F.filter("_k", lambda x: x == kind)).cast("bigint")
-    rows = files.withColumn("_l", lines(F.col("text"))).withColumn("_k", kinds)
+    rows = files.withColumn("_t", plain).withColumn("_l", lines(F.col("_t"))).withColumn("_s", lines(visible(F.col("_t"), pattern))).withColumn("_k", F.slice(kinds, F.lit(1), F.size("_l")))
     return rows.select(
         *files.columns, F.size("_l").cast("bigint").alias("total_lines"), count("code").alias("code_lines"), count("comment").alias("comment_lines"), count("blank").alias("blank_lines"),
         F.size(F.filter("_l", lambda x: F.length(x) > long_chars)).cast("bigint").alias("long_lines"),
@@ -78,17 +115,18 @@ def language_totals(stats: DataFrame) -> DataFrame:
 
 
 def branch_count(text: Column, language: Column) -> Column:
-    total = lambda family: sum((F.regexp_count(text, F.lit(p)) for p in BRANCHES[family]), F.lit(0)).cast("bigint")
+    """Matches of the language's branch patterns; words and their boundaries are those of all scripts."""
+    total = lambda family: sum((F.regexp_count(text, F.lit("(?U)" + p)) for p in BRANCHES[family]), F.lit(0)).cast("bigint")
     return F.when(language.isin(BRACE_LANGUAGES), total("braces")).when(language.isin(HASH_LANGUAGES), total("hash")).otherwise(total("plain"))
 
 
 def assertions(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(ASSERTION)).cast("bigint")
+    return F.regexp_count(text, F.lit("(?U)" + ASSERTION)).cast("bigint")
 
 
 def smells(files: DataFrame, patterns: tuple = FLAKY) -> DataFrame:
     """(rel, label, line): the first match of each pattern in each file."""
-    found = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(label).alias("label"), F.regexp_instr("text", F.lit(p)).alias("at")) for p, label in patterns])
+    found = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(label).alias("label"), F.regexp_instr("text", F.lit("(?U)" + p)).alias("at")) for p, label in patterns])
     rows = files.select("rel", "text", F.explode(F.filter(found, lambda x: x["at"] > 0)).alias("m"))
     return rows.select("rel", F.col("m.label").alias("label"), line_of(F.col("text"), F.col("m.at")).alias("line"))
 
@@ -123,18 +161,20 @@ def windows(files: DataFrame, window: int = DEFAULTS["duplication_window"]) -> D
     return rows.select("rel", F.explode(made).alias("w")).select("rel", "w.*")
 
 
-def clones(files: DataFrame, window: int = DEFAULTS["duplication_window"], least: int = DEFAULTS["duplication_min_lines"]) -> DataFrame:
-    """(first_file, first_line, second_file, second_line, lines): maximal blocks of at least ``least`` significant lines in two
-    places of which the second follows the first among the places of the same windows.
+def clones(files: DataFrame, least: int = DEFAULTS["duplication_min_lines"]) -> DataFrame:
+    """(first_file, first_line, second_file, second_line, lines): blocks of at least ``least`` significant lines that stand earlier
+    too, by file and place, each with its first copy.
 
-    A digest in n places gives n - 1 neighbouring pairs rather than all pairs: each copy is compared with the one before it, so
-    a boilerplate block in very many files costs as many rows as it has copies. Runs are islands of neighbouring windows."""
-    places = windows(files, window)
-    order = Window.partitionBy("digest").orderBy("rel", "ord")
-    pairs = places.select(
-        F.lag("rel").over(order).alias("first_file"), F.lag("ord").over(order).alias("o1"), F.lag("line").over(order).alias("l1"), F.col("rel").alias("second_file"), F.col("ord").alias("o2"), F.col("line").alias("l2")
-    ).filter(F.col("first_file").isNotNull() & ((F.col("first_file") != F.col("second_file")) | (F.col("o2") >= F.col("o1") + window)))
+    Every run of ``least`` lines is compared with the first place where it stands; runs that follow each other in both
+    places are one block. So every line of every copy but the first is covered, however the copies of a block overlap, and
+    n copies make n - 1 blocks rather than all pairs. A block ends where another text's first copy begins; the rest of it,
+    if long enough, is a block with that one. Within a file, copies do not overlap. The first place is an aggregate, not an
+    order, so that a window in very many files meets in no single task."""
+    places = windows(files, least)
+    first = places.groupBy("digest").agg(F.min(F.struct("rel", "ord", "line")).alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1).select("digest", "first")
+    pairs = places.join(first, "digest").select(F.col("first.rel").alias("first_file"), F.col("first.ord").alias("o1"), F.col("first.line").alias("l1"), F.col("rel").alias("second_file"), F.col("ord").alias("o2"), F.col("line").alias("l2"))
+    pairs = pairs.filter((F.col("first_file") != F.col("second_file")) | (F.col("o2") >= F.col("o1") + least))
     along = Window.partitionBy("first_file", "second_file", "shift").orderBy("o1")
     runs = pairs.withColumn("shift", F.col("o2") - F.col("o1")).withColumn("island", F.col("o1") - F.row_number().over(along))
     blocks = runs.groupBy("first_file", "second_file", "shift", "island").agg(F.count("*").alias("n"), F.min("l1").alias("first_line"), F.min("l2").alias("second_line"))
-    return blocks.filter(F.col("n") >= least - window + 1).select("first_file", "first_line", "second_file", "second_line", (F.col("n") + window - 1).alias("lines"))
+    return blocks.select("first_file", "first_line", "second_file", "second_line", (F.col("n") + least - 1).alias("lines"))

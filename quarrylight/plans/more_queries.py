@@ -14,18 +14,13 @@ from ..tables import table
 from .history_queries import CARD, FINDINGS, GRADE, _scores, findings
 from .mapping import documents
 from .registry import query
-from .text_queries import _WINDOWS
+from .text_queries import CLONES
 from .tree_queries import _sql_pick
 
 
-@query(
-    f"""WITH {_WINDOWS}, pairs AS (SELECT lag(rel) OVER w AS f1, lag(ord) OVER w AS o1, lag(line) OVER w AS l1, rel AS f2, ord AS o2, line AS l2 FROM places WINDOW w AS (PARTITION BY digest ORDER BY rel, ord)),
-    runs AS (SELECT *, o1 - row_number() OVER (PARTITION BY f1, f2, o2 - o1 ORDER BY o1) AS island FROM pairs WHERE f1 IS NOT NULL AND (f1 <> f2 OR o2 >= o1 + 3)),
-    found AS (SELECT f1 AS first_file, CAST(min(l1) AS INTEGER) AS first_line, f2 AS second_file, CAST(min(l2) AS INTEGER) AS second_line, CAST(count(*) + 2 AS BIGINT) AS lines FROM runs GROUP BY f1, f2, o2 - o1, island HAVING count(*) >= 2)
-    SELECT * FROM found ORDER BY lines DESC, first_file, first_line, second_file, second_line LIMIT 40"""
-)
+@query(f"WITH {CLONES} SELECT * FROM found ORDER BY lines DESC, first_file, first_line, second_file, second_line LIMIT 40")
 def t3_largest_clones(spark: SparkSession, d: str) -> DataFrame:
-    found = tx.clones(documents(spark, d), window=3, least=4)
+    found = tx.clones(documents(spark, d), least=4)
     return found.orderBy(F.desc("lines"), "first_file", "first_line", "second_file", "second_line").limit(40)
 
 
@@ -53,9 +48,9 @@ def k1_json_rows(spark: SparkSession, d: str) -> DataFrame:
     return one.select("dimension", F.to_json(F.struct("dimension", "n")).alias("document"))
 
 
-@query(f"WITH {FINDINGS} SELECT dimension, severity, count(*) AS n, round(sum(penalty), 6) AS points FROM w GROUP BY ROLLUP (dimension, severity) HAVING dimension IS NOT NULL")
+@query(f"WITH {FINDINGS} SELECT dimension, severity, count(*) AS n, CAST(sum(penalty) AS DOUBLE) AS points FROM w GROUP BY ROLLUP (dimension, severity) HAVING dimension IS NOT NULL")
 def a22_dimension_rollup(spark: SparkSession, d: str) -> DataFrame:
-    rows = fi.weighed(findings(spark, d)).rollup("dimension", "severity").agg(F.count("*").alias("n"), F.round(F.sum("penalty"), 6).alias("points"))
+    rows = fi.weighed(findings(spark, d)).rollup("dimension", "severity").agg(F.count("*").alias("n"), F.sum("penalty").cast("double").alias("points"))
     return rows.filter("dimension is not null")
 
 

@@ -257,12 +257,12 @@ def f12_cvss_base_score(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {DEPS}, {_CVSS}, adv AS (SELECT 'A' || row_number() OVER (ORDER BY vector) AS id, CASE WHEN score >= 9 THEN 4 WHEN score >= 7 THEN 3 WHEN score >= 4 THEN 2 ELSE 1 END AS rank, row_number() OVER (ORDER BY vector) AS n FROM s),
     w AS (SELECT name, manifest, version, length({_KEY}) AS k FROM v WHERE grp IN ('prod', 'optional') AND version IS NOT NULL)
     SELECT name, manifest, version, CASE greatest(2, max(rank)) WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'critical' END AS severity, count(DISTINCT id) AS advisories
-    FROM w JOIN adv ON n % 40 = k % 40 AND n <= 120 GROUP BY name, manifest, version"""
+    FROM w JOIN adv ON n % 40 = k % 40 GROUP BY name, manifest, version"""
 )
 def j8_a19_vulnerable_dependencies(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    scored = f12_cvss_base_score(spark, d).withColumn("n", F.row_number().over(Window.orderBy("vector"))).filter("n <= 120").withColumn("id", F.concat(F.lit("A"), F.col("n").cast("string")))
+    scored = f12_cvss_base_score(spark, d).withColumn("n", F.row_number().over(Window.orderBy("vector"))).withColumn("id", F.concat(F.lit("A"), F.col("n").cast("string")))
     wanted = dp.queryable(deps(spark, d))
     keys = wanted.select("key").distinct().withColumn("k", F.length("key") % 40)
     matches = keys.join(scored.select("id", (F.col("n") % 40).alias("k")), "k").select("key", "id")

@@ -6,18 +6,46 @@ import json
 import os
 from typing import Any
 
+from ..catalogue import RULES
 from ..operators import findings as fi
 from ..plans.audit import Audit
 
 SCHEMA_VERSION = "1.0"
 
 
+def measurements(run: Audit) -> dict[str, Any]:
+    """The measurements by part; gathered in one pass, as there are some dozens of short rows."""
+    out: dict[str, Any] = {}
+    for part, key, row in run.measured.collect():
+        mine, values = out.setdefault(part, {}), json.loads(row)
+        if not key:
+            mine.update(values)
+        elif key == "online":
+            mine[key] = values
+        elif key == "findings_capped":
+            mine.setdefault(key, {})[values["rule"]] = values["dropped"]
+        else:
+            mine.setdefault(key, []).append(next(iter(values.values())) if len(values) == 1 else values)
+    exact = out.get("complexity", {})
+    if exact.get("files_heuristic"):
+        exact["notes"] = [f"{exact['files_heuristic']} of {exact['files_measured']} files measured with heuristics (exact for Python only)"]
+    return out
+
+
 def report(run: Audit, name: str) -> dict[str, Any]:
     """All capped findings in order, of which there are a dozen for each rule, with scores and what was not measured."""
-    rows = [{k: r[k] for k in ("rule", "dimension", "severity", "confidence", "detail", "file", "line", "occurrences")} for r in run.findings.orderBy(*fi.order_by()).collect()]
+    known = {r.id: r for r in RULES}
+    columns = ("rule", "dimension", "severity", "confidence", "detail", "file", "line", "occurrences", "evidence")
+    rows = []
+    for r in run.findings.orderBy(*fi.order_by()).collect():
+        places = [x.asDict() for x in r["locations"] or []]
+        rows.append({k: r[k] for k in columns} | {"penalty": float(r["penalty"]), "locations": places, "title": known[r["rule"]].title, "remediation": known[r["rule"]].remedy})
     card = run.card.first().asDict()
     scores = [r.asDict() for r in run.scores.orderBy("ordinal").collect()]
-    return {"schema_version": SCHEMA_VERSION, "name": name, "overall": card["overall"], "grade": card["grade"], "coverage": card["coverage"], "dimensions": scores, "findings": rows, "unavailable": run.unavailable, "metrics": run.metrics}
+    metrics = run.metrics | measurements(run)
+    missing = [d["dimension"] for d in scores if d["score"] is None]
+    note = f"{card['coverage']:.0%} of the weight was measured" + (f"; not measured: {', '.join(missing)}" if missing else "") if card["coverage"] is not None else "nothing was measured"
+    return {"schema_version": SCHEMA_VERSION, "name": name, "overall": card["overall"], "grade": card["grade"], "coverage": card["coverage"], "note": note, "dimensions": scores, "findings": rows, "unavailable": run.unavailable, "metrics": metrics}
 
 
 def write_json(document: dict[str, Any], path: str) -> None:
@@ -38,7 +66,10 @@ def diff(current: dict[str, Any], baseline: dict[str, Any], tolerance: float = 0
     rounded = lambda d: None if d["overall"] is None else round(d["overall"], 1)
     a, b = rounded(baseline), rounded(current)
     delta = None if a is None or b is None else round(b - a, 1)
+    scores = lambda d: {x["dimension"]: round(x["score"], 1) for x in d["dimensions"] if x["score"] is not None}
+    then, now = scores(baseline), scores(current)
     return {
+        "dimensions": {d: {"before": then[d], "after": now[d], "delta": round(now[d] - then[d], 1)} for d in now if d in then and now[d] != then[d]},
         "new": sorted(after.keys() - before.keys()),
         "resolved": sorted(before.keys() - after.keys()),
         "increased": sorted(r for r in after.keys() & before.keys() if after[r] > before[r]),
@@ -68,16 +99,44 @@ def markdown(document: dict[str, Any]) -> str:
         mine = [f for f in document["findings"] if f["dimension"] == d["dimension"]]
         if mine:
             out += ["", f"## {d['dimension']}", ""]
-            out += [f"- **{f['severity']}** `{f['rule']}` {_place(f)} {f['detail'] or ''}" + (f" (x{f['occurrences']})" if f["occurrences"] > 1 else "") for f in mine]
+            for f in mine:
+                out.append(f"- **{f['severity']}** `{f['rule']}` {f['title']}: {_place(f)} {f['detail'] or ''}" + (f" (x{f['occurrences']})" if f["occurrences"] > 1 else ""))
+                out += [f"  - {x}" for x in f["evidence"]]
+                out += [f"  - see {_place(x)}" for x in f["locations"][1:]]
+    if any(isinstance(v, dict) for v in document["metrics"].values()):
+        out += ["", "## Measurements", ""]
+        for part, values in document["metrics"].items():
+            if isinstance(values, dict):
+                out += [f"- {part}: " + ", ".join(f"{k} {v}" for k, v in values.items() if not isinstance(v, (list, dict)))]
     if document["unavailable"]:
         out += ["", "## Not measured", "", *[f"- {k}: {v}" for k, v in sorted(document["unavailable"].items())]]
     return "\n".join(out) + "\n"
 
 
-def console(document: dict[str, Any], width: int = 78) -> str:
-    out = ["=" * width, f"{document['name']}: {_score(document['overall'])} {document['grade'] or ''}".rstrip(), "=" * width]
-    out += [f"{d['dimension']:<12}{_score(d['score']):>14}  {d['grade'] or '-'}  {d['n_findings']:>4} findings" for d in document["dimensions"]]
-    out += [f"{f['severity'].upper():<9}{f['rule']:<34}{_place(f)}"[:width] for f in document["findings"]]
+# Terminal colours by severity.
+_COLOURS = {"critical": 35, "high": 31, "medium": 33, "low": 36, "info": 37}
+
+
+def console(document: dict[str, Any], width: int = 78, colour: bool = False, verbose: bool = False, encoding: str = "utf-8") -> str:
+    """Text for a terminal; bars of plain signs where the encoding has no others; ``verbose`` adds evidence, places and measurements."""
+    try:
+        "\u2588\u2591".encode(encoding)
+        full, free = "\u2588", "\u2591"
+    except (UnicodeEncodeError, LookupError):
+        full, free = "#", "."
+    painted = lambda text, severity: f"\x1b[{_COLOURS[severity]}m{text}\x1b[0m" if colour else text
+    bar = lambda s: " " * 10 if s is None else full * round(s / 10) + free * (10 - round(s / 10))
+    out = ["=" * width, f"{document['name']}: {_score(document['overall'])} {document['grade'] or ''}".rstrip(), document["note"], "=" * width]
+    out += [f"{d['dimension']:<12}{bar(d['score'])}{_score(d['score']):>14}  {d['grade'] or '-'}  {d['n_findings']:>4} findings" for d in document["dimensions"]]
+    for f in document["findings"]:
+        head = f"{f['severity'].upper():<9}"
+        out.append(painted(head, f["severity"]) + f"{f['rule']:<34}{_place(f)}"[: width - len(head)])
+        if verbose:
+            out += [f"         {x}"[:width] for x in [f["detail"], *f["evidence"], *(_place(x) for x in f["locations"][1:])] if x]
+    if verbose:
+        for part, values in document["metrics"].items():
+            if isinstance(values, dict):
+                out += [f"{part}: {k} = {v}"[:width] for k, v in values.items() if not isinstance(v, (list, dict))]
     if document["unavailable"]:
         out += ["NOT MEASURED", *[f"  {k}: {v}"[:width] for k, v in sorted(document["unavailable"].items())]]
     return "\n".join(out) + "\n"
@@ -85,6 +144,7 @@ def console(document: dict[str, Any], width: int = 78) -> str:
 
 def diff_text(change: dict[str, Any]) -> str:
     out = [f"{kind}: {rule}" for kind in ("new", "increased") for rule in change[kind]][:20]
+    out += [f"{d}: {x['before']:.1f} to {x['after']:.1f} ({x['delta']:+.1f})" for d, x in change.get("dimensions", {}).items() if x["delta"] < 0]
     if change["score_drop"]:
         out.append(f"score fell by {-change['delta']:.1f}")
     if out and change["config_changed"]:
