@@ -13,11 +13,12 @@ sample (``chars_per_language``, ``chars_per_row``) of labelled rows; every docum
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,18 +120,6 @@ class CrossParser:
         return self.languages[best], 1 / sum(math.exp(self.SHARPNESS * (rates[best] - r)) for r in rates), rates[best]
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
-def _parser(samples: dict[str, str]) -> CrossParser:
-    """The parser for these samples, built once in a worker process."""
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(samples)
-    return _PARSERS[key]
-
-
 def learn(labelled: DataFrame, chars_per_language: int = 40_000, chars_per_row: int = 1_500, most_languages: int = 256) -> dict[str, str]:
     """Sample text by language from (doc_id, text, lang) rows with a language.
 
@@ -169,13 +158,18 @@ def identify(documents: DataFrame, samples: dict[str, str]) -> DataFrame:
     """
     shared = documents.sparkSession.sparkContext.broadcast(samples)  # chars_per_language a language at most
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        parser = _parser(shared.value)
-        for series in batches:
-            yield pd.DataFrame([parser.predict(text) for text in series], columns=["lang_pred", "score", "bits_per_char"])
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    judge = F.pandas_udf(run, "struct<lang_pred:string,score:double,bits_per_char:double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        parser = CrossParser(shared.value)
+        try:
+            for texts in batches:  # one text at a time is turned into a string
+                rows = zip(*(parser.predict(text.as_py()) for text in texts), strict=True) if len(texts) else [[], [], []]
+                yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.float64(), pa.float64()), strict=True)], ["lang_pred", "score", "bits_per_char"])
+        finally:  # a worker outlives its task, and the automata are large
+            del parser
+            gc.collect()
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    judge = F.arrow_udf(run, "struct<lang_pred:string,score:double,bits_per_char:double>")
     return with_struct(documents, judge(F.col("text")), ["lang_pred", "score", "bits_per_char"])
 
 
