@@ -34,6 +34,8 @@ from .common import chunks, dropped, small_side, spread_join, written
 from .components import components
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text whose words are held at a time; their arrays take about ten times the room.
+CHUNK_BYTES = 3 << 20
 #: Tokens in a combination of the frequent class.
 COMBINED = 3
 
@@ -118,7 +120,7 @@ def sketch(documents: DataFrame, words: int, rule: Rule) -> DataFrame:
     """(doc_id, text_hash, node, n, prefix binary) of every row; node is null for a row without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK_BYTES):
             nodes, sizes, prefixes = [], [], []
             for s in shingle_sets(batch.column("text"), words):
                 nodes.append(_signature(s) if len(s) else None)
@@ -159,7 +161,7 @@ def _combined_keys(texts: DataFrame, words: int, rule: Rule) -> DataFrame:
     """(key, node): the three-token combinations of (node, text) rows; small sets add their single tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK_BYTES):
             keys, nodes = [], []
             for node, s in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), words), strict=True):
                 if len(s) and _signature(s) == node:
@@ -217,7 +219,7 @@ def _tiled(texts: DataFrame, words: int, rule: Rule) -> DataFrame:
     Rows of a cluster meet in a tile for each two blocks ``mine`` and one of ``others``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK_BYTES):
             rows: list[tuple] = []
             columns = (batch.column(k).to_pylist() for k in ("cluster", "mine", "others", "node"))
             held = 0
