@@ -61,10 +61,13 @@ def answers(keys: DataFrame, kind: str, fetch: Callable[[str, str], dict | None]
             found = [(k, fetch(kind, k)) for k in pdf["key"]]
             yield pd.DataFrame([(k, json.dumps(b)) for k, b in found if b is not None], columns=["key", "body"])
 
-    fetched = keys.select("key").distinct().join(cached, "key", "left_anti").mapInPandas(run, "key string, body string").persist()
-    if cache_path:
-        fetched.select(F.lit(kind).alias("kind"), "key", "body", F.lit(now).cast("bigint").alias("fetched_at")).write.mode("append").parquet(cache_path)
-    return cached.unionByName(fetched)
+    fetched = keys.select("key").distinct().join(cached, "key", "left_anti").mapInPandas(run, "key string, body string")
+    if not cache_path:
+        return cached.unionByName(fetched.persist())
+    # written first and read back, so that a lost executor asks nothing again
+    fetched.select(F.lit(kind).alias("kind"), "key", "body", F.lit(now).cast("bigint").alias("fetched_at")).write.mode("append").parquet(cache_path)
+    fresh = read_cache(spark, cache_path).filter((F.col("kind") == kind) & (F.col("fetched_at") >= now - int(ttl_hours * 3600)))
+    return keys.select("key").distinct().join(fresh.groupBy("key").agg(F.max_by("body", "fetched_at").alias("body")), "key")
 
 
 def matches(answered: DataFrame) -> DataFrame:

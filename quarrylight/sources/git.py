@@ -7,7 +7,9 @@ filter because Spark keeps one reader for all queries of a DataFrame, and a boun
 from __future__ import annotations
 
 import subprocess
-from collections.abc import Iterator
+import tempfile
+import threading
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -25,14 +27,35 @@ def git(root: str, *args: str, timeout: int = 120) -> str:
     return out.decode("utf-8", "replace")
 
 
+def pieces(root: str, *args: str, timeout: int = 3600) -> Iterator[str]:
+    """What git prints, piece by piece between NULs, while it runs. Raises if it fails or does not end in time: that is no
+    answer, and must not be taken for an empty history."""
+    with tempfile.TemporaryFile() as said, subprocess.Popen(["git", "-C", root, "-c", "core.quotePath=false", *args], stdout=subprocess.PIPE, stderr=said) as run:
+        guard = threading.Timer(timeout, run.kill)
+        guard.start()
+        try:
+            rest = b""
+            while block := run.stdout.read(1 << 20):
+                *whole, rest = (rest + block).split(b"\0")
+                yield from (x.decode("utf-8", "replace") for x in whole)
+            yield rest.decode("utf-8", "replace")
+        finally:
+            guard.cancel()
+            run.stdout.close()
+        if code := run.wait():
+            said.seek(0)
+            raise RuntimeError(f"git {args[0]} ended with {code}: {said.read(500).decode('utf-8', 'replace').strip()}")
+
+
 def cell(text: str) -> int | None:
     return 0 if text == "-" else int(text) if text.isdigit() else None
 
 
-def parse_log(text: str) -> Iterator[tuple]:
-    """(sha, author, name, ts, subject, parents, is_merge, changes) of each commit of a NUL-separated log with numstat."""
+def parse_log(parts: Iterable[str]) -> Iterator[tuple]:
+    """(sha, author, name, ts, subject, parents, is_merge, changes) of each commit of a log with numstat, given in the pieces
+    between its NULs."""
     current: list | None = None
-    for part in text.split("\0"):
+    for part in parts:
         for line in part.split("\n"):
             if UNIT in line:
                 if current:
@@ -53,13 +76,24 @@ class _LogReader(DataSourceReader):
         self.root, self.repo = options["root"], options.get("repo") or options["root"].rstrip("/").rsplit("/", 1)[-1]
         self.since = int(options.get("since", "0"))
 
+    #: Commits that one task reads; git passes over those before them without looking into their changes.
+    COMMITS = 20_000
+
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+        """One for every COMMITS commits of the window, none if there is no repository or no commit."""
+        window = [f"--since=@{self.since}"] if self.since else []
+        if not git(self.root, "rev-parse", "-q", "--verify", "HEAD"):
+            return [InputPartition(None)]
+        n = int("".join(pieces(self.root, "rev-list", "--count", *window, "HEAD")).strip() or 0)
+        return [InputPartition(at) for at in range(0, max(n, 1), self.COMMITS)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if partition.value is None:
+            return
         window = [f"--since=@{self.since}"] if self.since else []
         form = UNIT.join(("%H", "%an", "%ae", "%at", "%P", "%s"))
-        for row in parse_log(git(self.root, "log", *window, "--no-renames", "--numstat", "-z", f"--pretty=format:{form}")):
+        part = [f"--skip={partition.value}", f"--max-count={self.COMMITS}"]
+        for row in parse_log(pieces(self.root, "log", *window, *part, "--no-renames", "--numstat", "-z", f"--pretty=format:{form}", "HEAD")):
             yield (self.repo, *row)
 
 

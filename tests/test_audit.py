@@ -129,10 +129,22 @@ def test_command_line(spark, repo, tmp_path, capsys):
 def test_log_parser():
     u = "\x1f"
     text = f"a{u}Ann{u}a@x{u}100{u}p q{u}subject: with{u}unit\n\0003\t-\tbin.dat\0x\ty\tbad\0b{u}Bob{u}{u}50{u}{u}s"
-    rows = list(parse_log(text.replace("\\0003", "\0" + "3")))
+    rows = list(parse_log(text.replace("\\0003", "\0" + "3").split("\0")))
     assert [r[0] for r in rows] == ["a", "b"] and rows[0][6] and rows[1][1] == "Bob" and rows[0][7] == [("bin.dat", 3, 0)]
 
 
+def test_long_log_in_parts(spark, repo, monkeypatch):
+    from quarrylight.sources import git as source
+
+    reader = source._LogReader({"root": repo.root})
+    whole = [r for p in reader.partitions() for r in reader.read(p)]
+    monkeypatch.setattr(source._LogReader, "COMMITS", 3)
+    assert len(reader.partitions()) == 3 and [r for p in reader.partitions() for r in reader.read(p)] == whole and len(whole) == 7
+    with pytest.raises(RuntimeError):
+        list(source.pieces(repo.root, "log", "no-such-branch"))
+    assert [list(reader.read(p)) for p in source._LogReader({"root": "/tmp"}).partitions()] == [[]]
+
+
 def test_settings(tmp_path):
     (tmp_path / "pyproject.toml").write_text('[tool.quarrylight]\nlarge_file_lines = 9\nbogus = 1\n[tool.quarrylight.weights]\ntests = 0.5\n')
     (tmp_path / ".quarrylightignore").write_text("# c\ngen/\ngen/\n")
