@@ -11,8 +11,10 @@ from ..operators import findings as fi
 from ..operators import text as tx
 from ..sources.manifests import manifests
 from ..tables import table
+from ..operators import history as hi
+from . import metrics as mt
 from .history_queries import CARD, FINDINGS, GRADE, _scores, findings
-from .mapping import documents
+from .mapping import changes, commits, documents, file_stats
 from .registry import query
 from .text_queries import CLONES
 from .tree_queries import _sql_pick
@@ -109,3 +111,31 @@ def c2_c5_c7_c8_brace_metrics(spark: SparkSession, d: str) -> DataFrame:
     files = p.select(F.col("p_partkey").alias("rel"), F.concat(F.lit("/* { */\nfunc Run(a int, b string) {\n"), body, F.lit("}\n")).alias("text"), F.lit("Go").alias("language"))
     m, first = with_metrics(files), F.get("metrics.functions", F.lit(0))
     return m.select("rel", first["length"].alias("length"), first["args"].alias("args"), F.size("metrics.functions").alias("functions"))
+
+
+@query(
+    """WITH h AS (SELECT path, count(*) AS n, sum(added + deleted) AS churn FROM changes JOIN commits USING (sha) GROUP BY path)
+    SELECT (SELECT count(*) FROM commits) AS commits_in_window, (SELECT count(DISTINCT author) FROM commits) AS contributors_in_window, (SELECT count(*) FROM h) AS files_changed,
+    (SELECT CAST(sum(churn) AS BIGINT) FROM h JOIN file_stats ON rel = path WHERE n >= 3 AND NOT is_test AND total_lines > 0) AS churn_total"""
+)
+def m_hotspot_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What a report says of the history as a whole."""
+    log = commits(spark, d)
+    return mt.hotspots(hi.file_history(log, changes(spark, d)), log, file_stats(spark, d), 3)
+
+
+@query(f"WITH {FINDINGS} SELECT rule, count(*) - 12 AS dropped FROM w GROUP BY rule HAVING count(*) > 12")
+def m_capped_rules(spark: SparkSession, d: str) -> DataFrame:
+    """How many findings of each rule a report leaves out."""
+    return mt.capped_rules(findings(spark, d), 12)
+
+
+@query("SELECT rel AS file, CAST(size AS BIGINT) AS bytes FROM files WHERE size > 8000 ORDER BY size DESC, rel LIMIT 20")
+def m_large_files(spark: SparkSession, d: str) -> DataFrame:
+    return mt.large_files(documents(spark, d), 8000).select("file", "bytes")
+
+
+@query("SELECT branch, age_days FROM (SELECT sha AS branch, (996710400 - ts) / 86400.0::DOUBLE AS age_days, ts FROM commits WHERE NOT is_merge AND ts <= 996710400 - 90 * 86400) ORDER BY ts DESC, branch LIMIT 20")
+def m_long_lived_branches(spark: SparkSession, d: str) -> DataFrame:
+    refs = commits(spark, d).select(F.col("sha").alias("branch"), "ts", F.col("is_merge").alias("is_current"))
+    return hi.stale_branches(refs, 996_710_400, 90, 20).select("branch", "age_days")
