@@ -50,3 +50,11 @@ def test_empty_tables_and_filter(spark):
     assert contamination(docs.limit(0), items).collect() == []
     kept = keep_clean(docs, spark.createDataFrame([(5, "q a", 1)], ITEMS))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    """Columns named as the operator's own are kept, and rows of one id are judged each by its text."""
+    item = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, item, 5, 6, 7), (1, "clean text here", 8, 9, 10), (None, f"x {item}", 1, 1, 1), (2, None, 2, 3, 4)], "doc_id bigint, text string, _id int, _hash int, text_hash int")
+    kept = keep_clean(df, spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert kept.columns == df.columns and sorted((r["_id"], r["_hash"], r.text_hash) for r in kept.collect()) == [(2, 3, 4), (8, 9, 10)]

@@ -62,3 +62,12 @@ def test_rule_without_index(spark):
     df = spark.createDataFrame([(1, "ab 123", 0, "")], SCHEMA)
     assert [tuple(s) for s in scan(df, [Rule("digits", "[0-9]+", least=2)]).first().secret_spans] == [(3, 0, 6)]
     assert len(BASE_RULES) == 3
+
+
+def test_clashing_names(spark):
+    """Columns named as the operator's own are kept."""
+    df = spark.createDataFrame([(1, "token = abcdef123", 5, 6), (2, None, 7, 8)], "doc_id bigint, text string, _id int, _rules int")
+    out = scan(df)
+    assert out.columns == ["doc_id", "text", "_id", "_rules", "secret_spans"]
+    assert sorted((r["_id"], r["_rules"], len(r.secret_spans)) for r in out.collect()) == [(5, 6, 1), (7, 8, 0)]
+    assert [(r.text, r["_id"]) for r in redact(df).orderBy("doc_id").collect()] == [("[SECRET]", 5), (None, 7)]

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -119,3 +120,32 @@ def test_frequent_words_and_empty_table(spark):
     df = spark.createDataFrame([(i, "the cat " + "the " * i, None, None) for i in range(20)], SCHEMA)
     assert " the" in frequent_words(df, 0.1) and frequent_words(df.limit(0)) == []
     assert encode_documents(df.limit(0), BYTE).count() == 0
+
+
+def test_huffman_of_many_symbols():
+    """More symbols than codes of 16 bits can name get longer codes."""
+    r = np.random.default_rng(2)
+    ids = np.concatenate([np.arange(70_000), r.integers(0, 40, 100_000)])
+    lengths = huffman.code_lengths(np.bincount(ids))
+    assert lengths.max() > 16 and abs(sum(2.0 ** -lengths[lengths > 0].astype(float)) - 1) < 1e-9
+    codec, sizes = huffman.Codec(lengths), np.array([1, 0, 63, 64, 65, len(ids) - 193])
+    data, at, marks = codec.encode(ids, sizes)
+    assert (codec.decode(data, at[:-1], sizes, marks) == ids).all()
+
+
+def test_special_tokens_of_any_form(encoder):
+    """Special tokens are found whatever character they begin with."""
+    words = Words(encoder, None)
+    known, encoder.special = encoder.special, {"[END]": 7}
+    starts, encoder.special_starts = encoder.special_starts, {"["}
+    specials, encoder.specials = encoder.specials, re.compile(r"(\[END\])")
+    try:
+        assert words.encode("a[END]b") == [*words.encode("a"), 7, *words.encode("b")]
+    finally:
+        encoder.special, encoder.special_starts, encoder.specials = known, starts, specials
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "the river", 5, "x")], "doc_id bigint, text string, _made int, ids string")
+    row = encode_documents(df, public_tokenizers.path("byte_bpe_50k.json")).first()
+    assert (row["_made"], row.ids) == (5, "x") and row.n_tokens > 0

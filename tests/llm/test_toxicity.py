@@ -68,3 +68,14 @@ def test_sample_keeps_the_share_of_toxic_rows(spark, monkeypatch):
         toxicity.sample_and_train(df, marks, sample_rows=rows)
     assert seen[0] == (4000, 200)
     assert 850 <= seen[1][0] <= 1150 and 0.03 <= seen[1][1] / seen[1][0] <= 0.07
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    """A long text is scored whole: an offending sentence at its very end counts; the sample does not pass over long texts."""
+    texts, labels = corpus(400, 5)
+    long = " ".join(["word1 word2 word3."] * 40_000)
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*texts, long + " vile nasty foul!", long])], "doc_id bigint, text string, _made int")
+    marks = spark.createDataFrame([*enumerate(labels), (400, 1)], "doc_id bigint, toxic int")
+    model = sample_and_train(df, marks)
+    found = {r.doc_id: r for r in score(df, model).collect()}
+    assert found[400].score > 0.5 and found[400]["_made"] == 1 and found[400].score >= found[401].score
