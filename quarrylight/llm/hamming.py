@@ -5,7 +5,8 @@ is shared by a few codes. The index holds a posting (segment, value, code) for e
 differ in fewer than m * (r + 1) bits, one of their segments differs in at most r bits. So the search radius of the
 segments grows step by step: step r probes, for every query that is still open, the values that differ from its own in
 exactly r bits, as one equi-join with the postings, and computes the whole distances of the codes it meets. A query closes
-once its k-th distance is below m * (r + 1): nothing nearer can be left. A code is met in one segment and step alone, the
+once its k-th distance is below m * (r + 1): nothing nearer can be left. Codes farther than the k nearest met so far are
+passed over at once. A code is met in one segment and step alone, the
 first in order, so candidates are not repeated. When r has reached the segments' width everything has been met, so results
 are always exact.
 
@@ -59,16 +60,16 @@ def _flips(width: int, radius: int) -> Column:
 
 
 def _probes(open_: DataFrame, widths: list[int], radius: int, hot: DataFrame) -> DataFrame:
-    """(q, s, v, part): the values that the open queries (q) look up at this radius."""
-    per_segment = open_.select("q", F.posexplode(_segments(F.col("q"), widths)).alias("s", "own"))
+    """(q, bound, s, v, part): the values that the open queries (q, bound) look up at this radius."""
+    per_segment = open_.select("q", "bound", F.posexplode(_segments(F.col("q"), widths)).alias("s", "own"))
     flips = _flips(widths[0], radius)
     for i, w in enumerate(widths):
         if w != widths[0]:
             flips = F.when(F.col("s") < i, flips).otherwise(_flips(w, radius))
             break
-    values = per_segment.select("q", "s", "own", F.explode(flips).alias("flip")).select("q", "s", F.col("own").bitwiseXOR(F.col("flip")).alias("v"))
+    values = per_segment.select("q", "bound", "s", "own", F.explode(flips).alias("flip")).select("q", "bound", "s", F.col("own").bitwiseXOR(F.col("flip")).alias("v"))
     parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
-    return values.join(hot, ["s", "v"], "left").select("q", "s", "v", F.explode(parts).alias("part"))
+    return values.join(hot, ["s", "v"], "left").select("q", "bound", "s", "v", F.explode(parts).alias("part"))
 
 
 def _first_met(widths: list[int], radius: int) -> Column:
@@ -101,16 +102,19 @@ def hamming_topk(base: DataFrame, queries: DataFrame, k: int, bits: int = 64, mo
     buckets = min(10_000, 8 + facts["n"] * len(widths) // 1_000_000)
     index = bucketed(index.repartition(buckets, "s", "v", "part"), "mih-index", ["s", "v", "part"], buckets)
 
-    best, open_ = None, asked.select("q").distinct()
+    best, open_ = None, asked.select("q", F.lit(bits).alias("bound")).distinct()
     nearest = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
     for radius in range(max(widths) + 1):
-        met = _probes(open_, widths, radius, hot).join(index, ["s", "v", "part"]).filter(_first_met(widths, radius))
-        met = met.select("q", "code", "id", "times", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
+        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        met = _probes(open_, widths, radius, hot).join(index, ["s", "v", "part"]).filter((distance <= F.col("bound")) & _first_met(widths, radius))
+        met = met.select("q", "code", "id", "times", distance.alias("distance"))
         before = best, open_
         # ties go to the least id, so k codes by distance and least id hold the k nearest rows
         best = written((met if best is None else met.unionByName(best)).withColumn("at", nearest).filter(F.col("at") <= k).drop("at"), "mih-best")
-        sure = best.filter(F.col("distance") < len(widths) * (radius + 1)).groupBy("q").agg(F.sum("times").alias("times")).filter(F.col("times") >= need)
-        open_ = written(open_.join(sure, "q", "left_anti"), "mih-open")
+        sure = F.sum(F.when(F.col("distance") < len(widths) * (radius + 1), F.col("times")))
+        known = best.groupBy("q").agg(sure.alias("sure"), F.sum("times").alias("met"), F.max("distance").alias("far"))
+        open_ = open_.select("q").join(known, "q", "left").filter(F.coalesce("sure", F.lit(0)) < need)
+        open_ = written(open_.select("q", F.when(F.col("met") >= need, F.col("far")).otherwise(bits).alias("bound")), "mih-open")
         dropped(*(x for x in before if hasattr(x, "_quarrylight_path")))
         if open_.isEmpty():
             break
