@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .common import chunks, put_bytes, with_struct, written
+from .common import chunks, put_bytes, tidy, with_struct, written
 from .transducer import Lexicon, compile_lexicon
 
 #: Unicode White_Space, as the tokenizer's \s; Python's own \s has four control characters more.
@@ -161,7 +161,7 @@ def frequent_words(documents: DataFrame, share: float = 1 / 20_000) -> list[str]
         kept = [(w, n + pruned) for w, n in seen.items() if n + pruned >= share * total and len(w) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept] + [None], pa.string()), pa.array([n for _, n in kept] + [total], pa.int64())], ["word", "n"])
 
-    sums = documents.select(F.col("text").cast("string")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = documents.select(F.col("text").cast("string")).mapInArrow(tidy(run), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     sums = written(sums, "word-counts")
     total = sums.filter(F.col("word").isNull()).select("n").first()
     if total is None or not total["n"]:
@@ -174,17 +174,6 @@ def build_lexicon(words: list[str], encoder: BytePairEncoder) -> bytes:
     return compile_lexicon((w.encode(), encoder.word(w)) for w in words)
 
 
-_LOADED: dict[str, Words] = {}
-
-
-def _words(tokenizer_json: str, file_name: str) -> Words:
-    """The encoder with the mapped lexicon, set up once in a worker process."""
-    if file_name not in _LOADED:
-        _LOADED.clear()
-        _LOADED[file_name] = Words(BytePairEncoder(tokenizer_json), Lexicon(SparkFiles.get(file_name)))
-    return _LOADED[file_name]
-
-
 def encode_documents(documents: DataFrame, tokenizer_path: str, share: float = 1 / 20_000, with_ids: bool = False) -> DataFrame:
     """documents plus n_tokens, ids_sha256, decoded_sha256[, ids array<int>]; columns of these names are replaced, others kept.
 
@@ -209,7 +198,7 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, share: float = 1
     def run(batches):
         import pandas as pd
 
-        words = _words(shared.value, name)
+        words = Words(BytePairEncoder(shared.value), Lexicon(SparkFiles.get(name)))
         for series in batches:
             for at in range(0, len(series), 256):  # small pieces: ids take several times the room of their text
                 rows = [words.digest(t or "") for t in series[at : at + 256]]
@@ -220,8 +209,9 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, share: float = 1
 
     import pandas as pd
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return with_struct(documents, F.pandas_udf(run, kind)(F.col("text").cast("string")), ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+    coded = tidy(run)  # the encoder and its memo are large
+    coded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return with_struct(documents, F.pandas_udf(coded, kind)(F.col("text").cast("string")), ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

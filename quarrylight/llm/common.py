@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,6 +139,22 @@ def with_struct(df: DataFrame, value: Column, fields: list[str]) -> DataFrame:
     return made.select(*[made[f"`{c}`"] for c in kept], *[made[f"`{name}`"][f].alias(f) for f in fields])
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a task's function over batches, handing its memory back to the system at the end: a Python worker outlives its
+    task, and what it keeps is lacking to the tasks and stages that follow."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Splits Arrow batches so that one holds at most max_bytes of text, or one row."""
     for batch in batches:

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .common import chunks, dropped, small_side, spread_join, written
+from .common import chunks, dropped, small_side, spread_join, tidy, written
 from .components import components
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text whose words are held at a time; their arrays take about ten times the room.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 #: Tokens in a combination of the frequent class.
 COMBINED = 3
 
@@ -129,7 +129,7 @@ def sketch(documents: DataFrame, words: int, rule: Rule) -> DataFrame:
             columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "prefix"])
 
-    return _keyed(documents).mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, n int, prefix binary")
+    return _keyed(documents).mapInArrow(tidy(run), "doc_id bigint, text_hash bigint, node bigint, n int, prefix binary")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def _tokens(nodes: DataFrame) -> DataFrame:
             repeat = lambda c: np.repeat(batch.column(c).to_numpy(), count)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(data)), pa.array(repeat("node")), pa.array(repeat("n"))], ["token", "node", "n"])
 
-    return nodes.select("node", "n", "prefix").mapInArrow(run, "token bigint, node bigint, n int")
+    return nodes.select("node", "n", "prefix").mapInArrow(tidy(run), "token bigint, node bigint, n int")
 
 
 def _texts_of(documents: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _combined_keys(texts: DataFrame, words: int, rule: Rule) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
 
-    return texts.select("node", "text").mapInArrow(run, "key bigint, node bigint")
+    return texts.select("node", "text").mapInArrow(tidy(run), "key bigint, node bigint")
 
 
 def _forest(nodes: list[int], sets: list[np.ndarray], left: int, rule: Rule) -> list[tuple[int, int]]:
@@ -253,9 +253,9 @@ def _tiled(texts: DataFrame, words: int, rule: Rule) -> DataFrame:
             yield _edges(out)
         yield _edges(links(tile, held))
 
-    dealt = texts.select("node", "cluster", "mine", "others", "text").mapInArrow(sets, "cluster bigint, i int, j int, mine int, node bigint, hashes binary")
+    dealt = texts.select("node", "cluster", "mine", "others", "text").mapInArrow(tidy(sets), "cluster bigint, i int, j int, mine int, node bigint, hashes binary")
     dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    return dealt.mapInArrow(tiles, "u bigint, v bigint")
+    return dealt.mapInArrow(tidy(tiles), "u bigint, v bigint")
 
 
 def _tile_rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -58,6 +58,13 @@ def test_stages_and_run(spark, tmp_path):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids, r.lang, r.source) for r in final) == sorted(want)
 
 
+def test_each_text_is_judged_once(spark):
+    """The filter on what was found reads it, and does not parse every text a second time."""
+    docs = spark.createDataFrame([(1, "the river and the stone", "en", "s", 23), (2, None, None, "s", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    plan = corpus_pipeline.language_id(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_empty(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     empty.write.parquet(f"{tmp_path}/documents.parquet")
