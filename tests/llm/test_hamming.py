@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from quarrylight.llm.hamming import hamming_topk, segment_widths, sign_code
+from quarrylight.llm import hamming
+from quarrylight.llm.hamming import hamming_topk, search_steps, segment_widths, sign_code
 
 SCHEMA = "id bigint, code bigint, rank string"
 
@@ -38,6 +39,35 @@ def test_equals_brute_force(spark, flips, most):
     assert sorted(map(tuple, out.collect())) == brute(base, queries, 7)
 
 
+@pytest.mark.parametrize("flips", [0, 3, 20, 60])
+def test_segment_by_segment(spark, flips):
+    """Radii of many values are searched one segment at a time; queries may close between two."""
+    base = rows(flips + 1, 300, flips)
+    df = spark.createDataFrame([(*r, "x") for r in base], SCHEMA)
+    assert sorted(map(tuple, hamming_topk(df, df.filter("id % 30 = 0"), 7, most_flips=8).collect())) == brute(base, base[::30], 7)
+
+
+def test_steps():
+    assert search_steps([3, 2], 3) == [(r, [0, 1]) for r in range(4)]
+    assert search_steps([3, 2], 2) == [(0, [0, 1]), (1, [0]), (1, [1]), (2, [0]), (2, [1]), (3, [0, 1])]
+
+
+def test_probes_are_not_broadcast(spark, monkeypatch):
+    """A few open queries make very many probes, which the driver must not gather, though Spark takes them for few."""
+    plans = []
+
+    def kept(df, name, *more):
+        if name == "mih-best":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name, *more)
+
+    written = hamming.written
+    monkeypatch.setattr(hamming, "written", kept)
+    df = spark.createDataFrame([(*r, "x") for r in rows(1, 300, 60)], SCHEMA)
+    hamming_topk(df, df.filter("id % 50 = 0"), 3)
+    assert plans and all("ShuffledHashJoin" in plan for plan in plans)
+
+
 def test_small_and_empty(spark):
     two = spark.createDataFrame([(1, 0, "x"), (2, 3, "x")], SCHEMA)
     assert [tuple(r) for r in hamming_topk(two, two.filter("id = 1"), 5).orderBy("rank").collect()] == [(1, 1, 1, 0), (1, 2, 2, 2)]
