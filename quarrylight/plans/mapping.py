@@ -45,6 +45,12 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("rel"), "text", F.col("n_chars").alias("size"), F.col("lang").alias("language"))
 
 
+def spread(rows: DataFrame, per_task: int = 10_000) -> DataFrame:
+    """rows dealt anew over tasks of about ``per_task``: a table of narrow rows stands in few blocks of a file, so that what is
+    costly to make of each row would be made in as few tasks."""
+    return rows.repartition(rows.count() // per_task + 1)
+
+
 #: The same tables in SQL, for the oracle.
 SQL = {
     "commits": "SELECT o_orderkey AS sha, o_custkey AS author, CAST(epoch(o_orderdate) AS BIGINT) AS ts, o_orderpriority AS subject, o_orderstatus = 'F' AS is_merge FROM orders",
