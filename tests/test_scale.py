@@ -25,3 +25,7 @@ def test_metrics_of_repeated_texts(spark):
 
 def test_python_sources_are_dealt_over_tasks(spark):
     assert more_queries._code_files(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() > 1
+
+
+def test_go_sources_are_dealt_over_tasks(spark):
+    assert more_queries.c2_c5_c7_c8_brace_metrics(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() > 1
