@@ -23,3 +23,8 @@ def equals_sql(spark, tmp_path, name, texts):
 def test_odd_texts_equal_sql(spark, tmp_path, name):
     """Texts that are empty, null, or hold other spaces, line ends and quotes than usual."""
     equals_sql(spark, tmp_path, name, ODD)
+
+
+def test_very_long_quoted_line(spark, tmp_path):
+    """A long line is counted without a pattern that nests for each of its characters."""
+    equals_sql(spark, tmp_path, "rule_long_lines", ["code\n" * 20 + ('"' + "y" * 60_000 + '"\n') * 4, "code\n" * 30])
