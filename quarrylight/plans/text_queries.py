@@ -112,8 +112,9 @@ def c11_w7_j4_clones(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_STATS}, c AS (SELECT rel, total_lines FROM stats) SELECT rel, CAST(total_lines AS BIGINT) AS total_lines, long_lines / code_lines::DOUBLE AS ratio FROM c JOIN stats USING (rel, total_lines) WHERE code_lines >= 20 AND long_lines / code_lines::DOUBLE > 0.15")
 def rule_long_lines(spark: SparkSession, d: str) -> DataFrame:
-    s = tx.line_stats(documents(spark, d), comment="#").filter(F.col("code_lines") >= 20).withColumn("ratio", F.col("long_lines") / F.col("code_lines"))
-    return s.filter(F.col("ratio") > 0.15).select("rel", "total_lines", "ratio")
+    counts = F.array(F.struct("total_lines", "code_lines", "long_lines"))
+    s = tx.line_stats(documents(spark, d), comment="#").select("rel", F.inline_outer(counts))  # filters stop at an outer generator; pushed below, they would split every text anew for each count
+    return s.filter(F.col("code_lines") >= 20).withColumn("ratio", F.col("long_lines") / F.col("code_lines")).filter(F.col("ratio") > 0.15).select("rel", "total_lines", "ratio")
 
 
 @query(

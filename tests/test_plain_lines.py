@@ -28,3 +28,11 @@ def test_odd_texts_equal_sql(spark, tmp_path, name):
 def test_very_long_quoted_line(spark, tmp_path):
     """A long line is counted without a pattern that nests for each of its characters."""
     equals_sql(spark, tmp_path, "rule_long_lines", ["code\n" * 20 + ('"' + "y" * 60_000 + '"\n') * 4, "code\n" * 30])
+
+
+def test_each_text_is_split_once(spark, tmp_path):
+    """The filters read the counts, and do not split every text again for each of them."""
+    spark.createDataFrame([(1, "a", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = entry.queries()["rule_long_lines"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
+    equals_sql(spark, tmp_path / "odd", "rule_long_lines", [*ODD, ("x" * 121 + "\n") * 20, "code\n" * 20 + ("é" * 121 + "\n") * 4, "code\n" * 17 + "y" * 121 + "\n" + "z" * 121 + "\n" + "y" * 121])
