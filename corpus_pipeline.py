@@ -20,6 +20,8 @@ from quarrylight.tables import table
 #: margin of chance, which shrinks with the root of their number.
 FOREIGN_BITS = 1.5 * math.log2(27)
 MARGIN_BITS = 16.0
+#: Words whose ids a BPE worker keeps: by then an executor's heap has grown to its limit and leaves little room beside it.
+MEMO_WORDS = 100_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of every text, with digests of the ids and of what they decode to; a null text has none."""
     import public_tokenizers
 
-    coded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    coded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, memo=MEMO_WORDS)
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .common import chunks, put_bytes, tidy, with_struct, written
+from .common import chunks, given_back, put_bytes, tidy, with_struct, written
 from .transducer import Lexicon, compile_lexicon
 
 #: Unicode White_Space, as the tokenizer's \s; Python's own \s has four control characters more.
@@ -150,8 +150,8 @@ def frequent_words(documents: DataFrame, share: float = 1 / 20_000) -> list[str]
         seen: Counter = Counter()
         total = pruned = 0
         for batch in chunks(batches):
-            for text in batch.column("text").to_pylist():
-                if text:
+            for text in batch.column("text"):  # one at a time is turned into a string
+                if text := text.as_py():
                     words = _WORD.findall(text)
                     total += len(words)
                     seen.update(words)
@@ -174,13 +174,13 @@ def build_lexicon(words: list[str], encoder: BytePairEncoder) -> bytes:
     return compile_lexicon((w.encode(), encoder.word(w)) for w in words)
 
 
-def encode_documents(documents: DataFrame, tokenizer_path: str, share: float = 1 / 20_000, with_ids: bool = False) -> DataFrame:
+def encode_documents(documents: DataFrame, tokenizer_path: str, share: float = 1 / 20_000, with_ids: bool = False, memo: int = 400_000) -> DataFrame:
     """documents plus n_tokens, ids_sha256, decoded_sha256[, ids array<int>]; columns of these names are replaced, others kept.
 
     The lexicon is counted, compiled on the driver (at most 1 / share words) and written to the shared folder, from where
     Spark hands every executor a copy to map. Null texts count as empty: no ids, the digests of nothing. Every row is coded by
     itself and whole, so ties, repeated rows and very long texts need no rule; an empty table gives an empty result. Which
-    words are frequent changes no result, only what the lexicon answers.
+    words are frequent changes no result, only what the lexicon answers; nor does ``memo``, the words whose ids a worker keeps.
     """
     import uuid
 
@@ -195,23 +195,26 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, share: float = 1
 
     kind = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + ",ids:array<int>" * with_ids + ">"
 
-    def run(batches):
-        import pandas as pd
-
-        words = Words(BytePairEncoder(shared.value), Lexicon(SparkFiles.get(name)))
-        for series in batches:
-            for at in range(0, len(series), 256):  # small pieces: ids take several times the room of their text
-                rows = [words.digest(t or "") for t in series[at : at + 256]]
-                out = pd.DataFrame([r[:3] for r in rows], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-                if with_ids:
-                    out["ids"] = [r[3].astype(np.int32) for r in rows]
-                yield out
-
-    import pandas as pd
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = Words(BytePairEncoder(shared.value), Lexicon(SparkFiles.get(name)), memo)
+        given_back()  # what reading the tokenizer file took
+        for texts in batches:
+            for at in range(0, len(texts), 256):  # small pieces: ids take several times the room of their text
+                yield _coded([words.digest(text.as_py() or "") for text in texts[at : at + 256]], with_ids)  # one text at a time is turned into a string
 
     coded = tidy(run)  # the encoder and its memo are large
-    coded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return with_struct(documents, F.pandas_udf(coded, kind)(F.col("text").cast("string")), ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+    coded.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return with_struct(documents, F.arrow_udf(coded, kind)(F.col("text").cast("string")), ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+
+
+def _coded(rows: list[tuple[int, str, str, np.ndarray]], with_ids: bool) -> pa.StructArray:
+    """What digest gives of several texts, as encode_documents' struct."""
+    n, ids_sha256, decoded_sha256, packed = zip(*rows, strict=True)
+    columns = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha256, pa.string()), "decoded_sha256": pa.array(decoded_sha256, pa.string())}
+    if with_ids:
+        ends = np.cumsum([0, *n], dtype=np.int64)
+        columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(packed).astype(np.int32)))
+    return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

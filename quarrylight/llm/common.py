@@ -139,6 +139,14 @@ def with_struct(df: DataFrame, value: Column, fields: list[str]) -> DataFrame:
     return made.select(*[made[f"`{c}`"] for c in kept], *[made[f"`{name}`"][f].alias(f) for f in fields])
 
 
+def given_back() -> None:
+    """Hands the memory that this worker has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, a task's function over batches, handing its memory back to the system at the end: a Python worker outlives its
     task, and what it keeps is lacking to the tasks and stages that follow."""
@@ -147,10 +155,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(AttributeError, OSError):  # only glibc has it
-                ctypes.CDLL(None).malloc_trim(0)
+            given_back()
 
     return tidied
 

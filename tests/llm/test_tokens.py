@@ -149,3 +149,14 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "the river", 5, "x")], "doc_id bigint, text string, _made int, ids string")
     row = encode_documents(df, public_tokenizers.path("byte_bpe_50k.json")).first()
     assert (row["_made"], row.ids) == (5, "x") and row.n_tokens > 0
+
+
+def test_encoding_with_little_memory(spark):
+    """A worker turns one text at a time into a string, without pandas, and a memo that is often cleared changes no ids."""
+    from pyspark.util import PythonEvalType
+
+    texts = [" ".join(f"w{i}x{j}, é{j % 7}" for j in range(40)) for i in range(600)] + ODD
+    coded = encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), BYTE, with_ids=True, memo=16)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert f"], {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}\n" in plan and plan.count("ArrowEvalPython") == 1
+    assert [list(r.ids) for r in coded.orderBy("doc_id").collect()] == library(BYTE, texts)[1]
